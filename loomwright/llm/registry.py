@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from loomwright.llm import tokens
+from loomwright.llm import chat, matroska, packing, tokens
 
 QUERIES = {
+    "op3_matroska_packets": matroska.op3_matroska_packets,
     "op6_token_counts": tokens.op6_token_counts,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_prefix_target_chat": chat.op10_prefix_target_chat,
 }
 ORACLES: dict[str, str] = {}
