@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from loomwright.llm import chat, matroska, packing, tokens
+from loomwright.llm import chat, language, matroska, packing, tokens, toxicity
 
 QUERIES = {
+    "op2_language_id": language.op2_language_id,
     "op3_matroska_packets": matroska.op3_matroska_packets,
     "op6_token_counts": tokens.op6_token_counts,
+    "op7_toxicity_mil": toxicity.op7_toxicity_mil,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_prefix_target_chat": chat.op10_prefix_target_chat,
 }
