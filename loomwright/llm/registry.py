@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomwright.llm import chat, language, matroska, packing, tokens, toxicity
+from loomwright.llm import chat, language, matroska, near, packing, tokens, toxicity
 
 QUERIES = {
+    "op1_minhash_odd_sketches": near.op1_minhash_odd_sketches,
     "op2_language_id": language.op2_language_id,
     "op3_matroska_packets": matroska.op3_matroska_packets,
     "op6_token_counts": tokens.op6_token_counts,
