@@ -4,7 +4,7 @@ centroids for each language, by cosine, with rejection by distance.
 Letters are lower-cased and everything else becomes one separator; n-grams of 2 and 3 are hashed into ``WIDTH``
 buckets.  Spherical k-means gives each language up to ``CENTROIDS`` centroids.  A text is rejected if its cosine to
 the nearest centroid is under ``SLACK`` times the lowest that any document of the sample with as many letters (by
-powers of two) had to its own language: short texts lie far from every centroid and aren't junk for that; those under ``FEWEST`` letters are never rejected.
+powers of two) had to its own language: short texts lie far from every centroid and aren't junk for that; those under ``FEWEST`` letters are never rejected, nor is any where fewer than ``ENOUGH`` documents were learned from.
 
 Fitting uses a bounded sample (``SAMPLE`` documents with a language); whole texts of all documents are classified.
 
@@ -29,6 +29,8 @@ from loomwright.session import table
 WIDTH, CENTROIDS, SAMPLE, SLACK, STEPS = 4096, 4, 4000, 0.3, 12
 #: Letters under which a text is too short to be rejected.
 FEWEST = 16
+#: Documents to learn from under which no distance counts as too far.
+ENOUGH = 100
 FOLDS, HELD_OUT = 3, 1
 #: Characters that are hashed at a time.
 SLICE = 2_000_000
@@ -140,7 +142,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     lowest = np.array([near[bits == b].min() if (bits == b).any() else np.inf for b in range(41)])
     lowest = np.minimum.accumulate(lowest[::-1])[::-1]  # a shorter text may lie farther than any longer one
     floors = SLACK * np.array([min(lowest[b], near[bits <= b].min() if b > bits.max() else np.inf) for b in range(41)])
-    floors[: FEWEST.bit_length()] = 0
+    floors[: FEWEST.bit_length() if len(rows) >= ENOUGH else None] = 0
     return Model(idf, c, names, np.where(np.isfinite(floors), floors, 0))
 
 

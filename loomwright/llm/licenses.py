@@ -185,10 +185,10 @@ def _sql() -> str:
     phrases = ", ".join(f"('{label}', {p.split()[0]!r}, {p.split()[1]!r}, {p.split()[2]!r}, {(p.split() + [None])[3]!r})".replace("None", "NULL") for p, label in PHRASES.items())
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{upper}', '{lower}') AS t FROM documents),
-w AS (SELECT r, unnest(regexp_extract_all(t, '{pattern}')) AS word, generate_subscripts(regexp_extract_all(t, '{pattern}'), 1) - 1 AS at FROM d),
-f AS (SELECT r, at, word AS w1, lead(word, 1) OVER o AS w2, lead(word, 2) OVER o AS w3, lead(word, 3) OVER o AS w4 FROM w WINDOW o AS (PARTITION BY r ORDER BY at)),
+w AS (SELECT r, unnest(regexp_extract_all(t, '{pattern}')) AS word, generate_subscripts(regexp_extract_all(t, '{pattern}'), 1) - 1 AS pos FROM d),
+f AS (SELECT r, pos, word AS w1, lead(word, 1) OVER o AS w2, lead(word, 2) OVER o AS w3, lead(word, 3) OVER o AS w4 FROM w WINDOW o AS (PARTITION BY r ORDER BY pos)),
 p(label, p1, p2, p3, p4) AS (VALUES {phrases}),
-b AS (SELECT r, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word, list(DISTINCT label) AS labels
+b AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels
       FROM f JOIN p ON w1 = p1 AND w2 = p2 AND w3 = p3 AND (p4 IS NULL OR w4 = p4) GROUP BY r),
 l AS (SELECT r, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{pattern}')) AS line FROM d),
 q(label, words) AS (VALUES {templates}),
