@@ -122,10 +122,10 @@ def mixed(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The sampled rows of ``docs``, with its columns."""
     kinds = classes(docs)
     cells = materialize(spark, docs.select(*[c.alias(n) for n, c in kinds.items()]).groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")))
-    found = materialize(spark, rates(spark, cells)).select(*[F.col(d).alias(f"_mix_{d}") for d in DIMS], F.col("rate").alias("_mix_rate"))
-    marked = docs.select("*", *[kinds[d].alias(f"_mix_{d}") for d in DIMS])
-    joined = marked.join(found, [f"_mix_{d}" for d in DIMS])
-    return joined.where(unit(F.col("doc_id")) < F.col("_mix_rate")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # the row travels as one value, so its columns can't clash with the classes
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), unit(F.col("doc_id")).alias("unit"), *[kinds[d].alias(d) for d in DIMS])
+    joined = marked.join(materialize(spark, rates(spark, cells)), DIMS)
+    return joined.where(F.col("unit") < F.col("rate")).select("row.*")
 
 
 def op4_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
