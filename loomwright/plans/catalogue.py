@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomwright.plans import q_graph, q_ledger, q_workloads  # noqa: F401  they register their queries
+from loomwright.plans.registry import ORACLES, QUERIES
 from loomwright.session import table
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
