@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.plans import q_graph, q_ledger, q_workloads  # noqa: F401  they register their queries
+from loomwright.plans import q_engine, q_graph, q_ledger, q_streaming, q_workloads  # noqa: F401  they register their queries
 from loomwright.plans.registry import ORACLES, QUERIES
 from loomwright.session import table
 

@@ -78,7 +78,7 @@ def engine_events(spark: SparkSession, sf: str) -> DataFrame:
     kinds = F.create_map(*[F.lit(x) for pair in EVENT_KINDS.items() for x in pair])
     return e.select(
         "event_id",
-        F.unix_micros("ts").alias("at_us"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"),
         F.coalesce(F.element_at(kinds, F.col("event_type")), F.col("event_type")).alias("event"),
         F.concat(F.lit("job-"), F.col("user_id").cast("string")).alias("job_id"),
         F.get_json_object("props", "$.k").alias("tag_k"),
