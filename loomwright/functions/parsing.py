@@ -36,8 +36,8 @@ def human_size(text: Column) -> Column:
     t = F.trim(text)
     suffix = F.upper(F.regexp_extract(t, r"^[0-9]+([A-Za-z]*)$", 1))
     number = F.regexp_extract(t, r"^([0-9]+)[A-Za-z]*$", 1).try_cast(SIZE)
-    power = F.when(suffix == "", 0).when(suffix.isin("K", "KB", "KIB"), 10).when(suffix.isin("M", "MB", "MIB"), 20).when(suffix.isin("G", "GB", "GIB"), 30).when(suffix.isin("T", "TB", "TIB"), 40)
-    bytes_ = (number * F.shiftleft(F.lit(1).cast("long"), power).cast("decimal(20,0)")).cast(SIZE)
+    times = F.when(suffix == "", 1).when(suffix.isin("K", "KB", "KIB"), 1 << 10).when(suffix.isin("M", "MB", "MIB"), 1 << 20).when(suffix.isin("G", "GB", "GIB"), 1 << 30).when(suffix.isin("T", "TB", "TIB"), 1 << 40)
+    bytes_ = F.when(number <= F.lit(U64).cast(SIZE), (number.cast("decimal(20,0)") * times.cast("decimal(15,0)")).cast(SIZE))
     bad = F.raise_error(F.concat(F.lit("invalid size: "), F.coalesce(text, F.lit("null"))))
     return F.when(bytes_ <= F.lit(U64).cast(SIZE), bytes_).otherwise(bad)
 
