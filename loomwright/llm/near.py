@@ -276,3 +276,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def op1_minhash_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
+#: The same over DuckDB, from all pairs that share a shingle.
+ORACLE = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - {SHINGLE} + 2), lambda i: array_to_string(w[i:i + {SHINGLE} - 1], ' ')) END) AS x FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS n_both FROM s a JOIN s b ON a.x = b.x AND a.r < b.r GROUP BY ALL),
+l AS (SELECT DISTINCT da.doc_id AS a, db.doc_id AS b FROM p JOIN n na ON na.r = p.a JOIN n nb ON nb.r = p.b JOIN d da ON da.r = p.a JOIN d db ON db.r = p.b
+  WHERE 100 * n_both >= {PERCENT} * (na.n + nb.n - n_both) AND da.doc_id <> db.doc_id),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+c AS (SELECT a AS id, a AS other FROM e UNION SELECT c.id, e.b FROM c JOIN e ON e.a = c.other),
+m AS (SELECT id, min(other) AS root FROM c GROUP BY id)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, CASE WHEN n.n IS NULL THEN doc_id ELSE coalesce(root, doc_id) END AS component_id,
+  doc_id IS NOT DISTINCT FROM (CASE WHEN n.n IS NULL THEN doc_id ELSE coalesce(root, doc_id) END) AS kept
+FROM d LEFT JOIN n USING (r) LEFT JOIN m ON m.id = d.doc_id
+"""

@@ -17,7 +17,9 @@ QUERIES = {
     "op10_prefix_target_chat": chat.op10_prefix_target_chat,
 }
 ORACLES: dict[str, str] = {
+    "op1_minhash_odd_sketches": near.ORACLE,
     "op4_raked_mixture": mixing.ORACLE,
     "op5_license_set_join": licenses.ORACLE,
     "op8_mtree_top_k": mtree.ORACLE,
+    "op10_prefix_target_chat": chat.ORACLE,
 }
