@@ -61,12 +61,13 @@ def w_rolling_trend(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH x AS (SELECT user_id, event_id, row_number() OVER ({_BY_USER}) AS n, value - lag(value, 1, 0.0) OVER ({_BY_USER}) AS d FROM events),
+    f"""WITH x AS (SELECT user_id, event_id, row_number() OVER ({_BY_USER}) AS n, v - lag(v, 1, 0.0) OVER ({_BY_USER}) AS d FROM (SELECT *, round(value * 100) AS v FROM events)),
 y AS (SELECT user_id, event_id, n, sum(d) OVER (PARTITION BY user_id ORDER BY event_id ROWS 3 PRECEDING) AS t, sum(d * d) OVER (PARTITION BY user_id ORDER BY event_id ROWS 3 PRECEDING) AS s FROM x)
 SELECT user_id, event_id, CAST(n AS INTEGER) AS n, round((s - t * t / 4) / 3, 3) AS variance FROM y WHERE n >= 4"""
 )
 def w_rolling_var(spark: SparkSession, sf: str) -> DataFrame:
-    return w.rolling_variance(table(spark, sf, "events").select("user_id", "event_id", "value"), ["user_id"], ["event_id"], "value", 4, 3).drop("value")
+    """In squared hundredths: sums of whole numbers are the same in any order."""
+    return w.rolling_variance(table(spark, sf, "events").select("user_id", "event_id", F.round(F.col("value") * 100).alias("value")), ["user_id"], ["event_id"], "value", 4, 3).drop("value")
 
 
 @query(
