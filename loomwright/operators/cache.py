@@ -4,6 +4,8 @@ Keys are SHA-256 over length-framed fields, so no two field lists run into each
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,6 +40,23 @@ def cache_keys(jobs: DataFrame, inputs: DataFrame) -> DataFrame:
     return jobs.join(by, "job_id", "left").select("job_id", F.when(~F.coalesce("missing", F.lit(False)), F.sha2(text, 256)).alias("cache_key"))
 
 
+def framed_text(tag: str, value: str | int | None) -> str:
+    """:func:`framed` on the driver."""
+    if value is None:
+        return f"{len(tag)}:{tag}0"
+    return f"{len(tag)}:{tag}1{len(str(value).encode())}:{value}"
+
+
+def cache_key_of(source: str, inputs: list[tuple[str, str | None]], params: str | None, env: str | None, shell: str | None, platform: str) -> str | None:
+    """:func:`cache_keys` for one job on the driver."""
+    if any(h is None for _, h in inputs):
+        return None
+    body = "".join(framed_text("input.path", p) + framed_text("input.hash", h) for p, h in sorted(inputs))
+    parts = [framed_text("format", FORMAT), framed_text("rule", source), framed_text("inputs.count", len(inputs)), body]
+    parts += [framed_text(t, v) for t, v in (("params", params), ("env", env), ("shell", shell), ("platform", platform))]
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
 def valid(mode: str, current_mtime: Column, current_size: Column, current_hash: Column, mtime: Column, size: Column, hash: Column) -> Column:
     """Whether a file is as recorded: by time and size, by these with the hash as a second look, or by the hash."""
     same_meta = F.coalesce((current_mtime == mtime) & (current_size == size), F.lit(False))

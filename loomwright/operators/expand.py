@@ -5,12 +5,15 @@ number of targets is one projection, without a join."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.functions import guards, patterns
+from loomwright.operators import graph
 from loomwright.session import materialize
 
 
@@ -76,8 +79,6 @@ def expand_target(spark: SparkSession, text: str, config: dict, how: str = "prod
         return spark.range(0).select(F.col("id").alias("n"), F.lit("").alias("path"))
     for name, expression in (constraints or {}).items():
         patterns.check_constraint(name, expression)
-        import re
-
         bad = [v for v in dims.get(name, []) if not re.fullmatch(expression, v)]
         if bad:
             raise ExpandError(f"{name}={bad[0]!r} is against its constraint {expression!r}")
@@ -176,7 +177,7 @@ def chain(spark: SparkSession, rules: list[RuleSpec], config: dict, targets: Dat
                 if refused:
                     raise ExpandError(f"{refused.path}: the guard of {rule.name} is false")
         one = made.select(patterns.job_id(F.col("rule"), F.col("wildcards")).alias("job_id"), "rule", "wildcards").dropDuplicates(["job_id"])
-        one = materialize(spark, one.withColumn("level", F.lit(level)))
+        one = materialize(spark, one.withColumn("level", F.lit(level)))  # the pass in which a job was found
         wanted = None
         for name, rule in by_name.items():
             for at, paths in needs(rule, config):
@@ -190,9 +191,15 @@ def chain(spark: SparkSession, rules: list[RuleSpec], config: dict, targets: Dat
         seen = seen.unionByName(frontier)
         level += 1
     none = spark.createDataFrame([], "job_id string, rule string, wildcards map<string,string>, level int")
-    jobs = none if jobs is None else jobs.groupBy("job_id").agg(F.first("rule").alias("rule"), F.first("wildcards").alias("wildcards"), F.max("level").alias("level"))
+    jobs = none if jobs is None else jobs.drop("level").dropDuplicates(["job_id"])
     edges = edges if edges is not None else spark.createDataFrame([], "job_id string, place int, at int, path string")
-    return jobs, edges.distinct(), (sources if sources is not None else empty_paths).distinct()
+    edges = edges.distinct()
+    if level:  # the level is the longest distance to a target, which also finds cycles
+        jobs = materialize(spark, jobs)
+        upstream = graph.reversed_edges(job_edges(outputs_of(rules, config, jobs), edges))
+        placed = graph.levels(spark, jobs.select(F.col("job_id").alias("id")), upstream)
+        jobs = jobs.join(placed.withColumnRenamed("id", "job_id"), "job_id")
+    return jobs, edges, (sources if sources is not None else empty_paths).distinct()
 
 
 def outputs_of(rules: list[RuleSpec], config: dict, jobs: DataFrame) -> DataFrame:
@@ -210,3 +217,164 @@ def job_edges(outputs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(from_job, to_job) by equal paths."""
     o, i = outputs.select(F.col("job_id").alias("from_job"), "path"), wanted.select(F.col("job_id").alias("to_job"), "path")
     return o.join(i, "path").select("from_job", "to_job").distinct()
+
+
+# The same on the driver, for sessions: their jobs are started one by one from there, so their number is bounded by that.
+
+
+@dataclass
+class Planned:
+    """A job of :func:`chain_local`: its inputs as (place, path), its outputs, and its distance from the targets."""
+
+    id: str
+    rule: str
+    wildcards: dict[str, str]
+    inputs: list[tuple[int, str]]
+    outputs: list[str]
+    level: int = 0
+
+
+def target_paths(text: str, config: dict, how: str = "product") -> list[str]:
+    """:func:`expand_target` on the driver."""
+    pattern = patterns.parse_pattern(patterns.config_substituted(text, config, strict=False))
+    dims = bindings(config, pattern.names)
+    return [] if dims is None else [patterns.fill(pattern, c) for c in combinations(dims, how)]
+
+
+def combinations(dims: dict[str, list[str]], how: str) -> list[dict[str, str]]:
+    """All bindings of a product or zip, the first list outermost."""
+    if how == "zip" and dims:
+        if len({len(v) for v in dims.values()}) > 1:
+            raise ExpandError(f"lists of unequal length: { {k: len(v) for k, v in dims.items()} }")
+        return [dict(zip(dims, row, strict=True)) for row in zip(*dims.values(), strict=True)] or [{}]
+    out: list[dict[str, str]] = [{}]
+    for name, values in dims.items():
+        out = [{**c, name: v} for c in out for v in values]
+    return out
+
+
+class Producers:
+    """Rules by what their output patterns start with, so that a path is matched with few of them."""
+
+    def __init__(self, rules: list[RuleSpec]):
+        self.by_head: dict[str, list[tuple[RuleSpec, patterns.Pattern, Callable]]] = {}
+        for rule in rules:
+            for text in rule.outputs:
+                pattern = patterns.parse_pattern(text)
+                head = pattern.pieces[0][1] if pattern.pieces and pattern.pieces[0][0] == "text" else ""
+                whole = len(pattern.pieces) == 1 and bool(head)
+                for name in set(rule.constraints) & set(pattern.names):
+                    patterns.check_constraint(name, rule.constraints[name])
+                self.by_head.setdefault(head, []).append((rule, pattern, (lambda p, h=head: {} if p == h else None) if whole else self._matcher(pattern, rule.constraints)))
+        self.lengths = sorted({len(h) for h in self.by_head})
+
+    @staticmethod
+    def _matcher(pattern: patterns.Pattern, constraints: dict[str, str]) -> Callable[[str], dict[str, str] | None]:
+        fits = re.compile(pattern.regex(constraints)[:-1] + r"\Z").match
+        names = [v for k, v in pattern.pieces if k == "wild"]
+
+        def matched(path: str) -> dict[str, str] | None:
+            m = fits(path)
+            if m is None:
+                return None
+            found: dict[str, str] = {}
+            for name, value in zip(names, m.groups(), strict=True):
+                if found.setdefault(name, value) != value:
+                    return None
+            return found
+
+        return matched
+
+    def of(self, path: str) -> tuple[RuleSpec, dict[str, str]] | None:
+        """The rule with the highest priority that makes a path, and its wildcards; a tie is an error."""
+        found: dict[str, tuple[RuleSpec, dict[str, str]]] = {}
+        for n in self.lengths:
+            if n > len(path):
+                break
+            for rule, _, matched in self.by_head.get(path[:n], ()):
+                if rule.name not in found and (w := matched(path)) is not None:
+                    found[rule.name] = (rule, w)
+        if not found:
+            return None
+        top = max(r.priority for r, _ in found.values())
+        best = sorted(n for n, (r, _) in found.items() if r.priority == top)
+        if len(best) > 1:
+            raise ExpandError(f"{path}: ambiguous: {', '.join(best)}")
+        return found[best[0]]
+
+
+def chain_local(rules: list[RuleSpec], config: dict, targets: Iterable[str], existing: set[str], exists: Callable[[str], bool] | None = None) -> tuple[dict[str, Planned], set[str]]:
+    """Backward chaining as in :func:`chain`: jobs by id, and the paths that come from outside."""
+    rules = resolved(rules, config)
+    producers_ = Producers(rules)
+    plans: dict[str, list[tuple[int, list[patterns.Pattern]]]] = {}
+    for rule in rules:
+        bound = {n for o in rule.outputs for n in patterns.parse_pattern(o).names}
+        plans[rule.name] = []
+        for place, text in enumerate(rule.inputs):
+            pattern = patterns.parse_pattern(text)
+            dims = bindings(config, [n for n in pattern.names if n not in bound])
+            if dims is None:
+                plans[rule.name].append((place, []))  # an error only where the rule is used
+                continue
+            combos = combinations(dims, rule.expand)
+            plans[rule.name].append((place, [patterns.Pattern(text, tuple(("text", c[v]) if k == "wild" and v in c else (k, v) for k, v in pattern.pieces)) for c in combos]))
+    jobs: dict[str, Planned] = {}
+    sources: set[str] = set()
+    maker: dict[str, str] = {}
+    frontier, seen, level = list(dict.fromkeys(targets)), set(), 0
+    while frontier:
+        if level > MOST_LEVELS:
+            raise ExpandError(f"more than {MOST_LEVELS} levels: rules feed each other")
+        step: list[str] = []
+        for path in frontier:
+            seen.add(path)
+            found = producers_.of(path)
+            if found is None:
+                if path not in existing:
+                    raise ExpandError(f"{path}: no producer")
+                sources.add(path)
+                continue
+            rule, wildcards = found
+            name = patterns.job_id_of(rule.name, wildcards)
+            maker[path] = name
+            if name in jobs:
+                continue
+            if rule.when is not None and not guards.holds(rule.when, wildcards, config, exists=exists):
+                raise ExpandError(f"{path}: the guard of {rule.name} is false")
+            inputs = []
+            for place, shapes in plans[rule.name]:
+                if not shapes:
+                    raise ExpandError(f"rule {rule.name}: no values for the wildcards of {rule.inputs[place]!r}")
+                inputs += [(place, patterns.fill(p, wildcards)) for p in shapes]
+            outputs = [patterns.fill(patterns.parse_pattern(o), wildcards) for o in rule.outputs]
+            jobs[name] = Planned(name, rule.name, dict(sorted(wildcards.items())), inputs, outputs)
+            step += [p for _, p in inputs]
+        frontier = [p for p in dict.fromkeys(step) if p not in seen]
+        level += 1
+    for job in jobs.values():
+        for path in job.outputs:
+            maker.setdefault(path, job.id)
+    _place(jobs, maker)
+    return jobs, sources
+
+
+def _place(jobs: dict[str, Planned], maker: dict[str, str]) -> None:
+    """Levels as the longest distance to a target; a job that would be downstream of itself is an error."""
+    below: dict[str, set[str]] = {}
+    for job in jobs.values():
+        for _, path in job.inputs:
+            if path in maker:
+                below.setdefault(maker[path], set()).add(job.id)
+    left = {i: len(below.get(i, ())) for i in jobs}
+    todo, done = [i for i, n in left.items() if not n], 0
+    while todo:
+        job = jobs[todo.pop()]
+        done += 1
+        for up in {maker[p] for _, p in job.inputs if p in maker}:
+            jobs[up].level = max(jobs[up].level, job.level + 1)
+            left[up] -= 1
+            if not left[up]:
+                todo.append(up)
+    if done < len(jobs):
+        raise ExpandError("rules feed each other in a cycle")

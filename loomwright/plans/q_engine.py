@@ -142,6 +142,22 @@ def expand_backward_chain(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.select("job_id", "rule", "level")
 
 
+_LAYERS = [
+    expand.RuleSpec("finalize", inputs=["proc/{i}"], outputs=["final/{i}"]),
+    expand.RuleSpec("gen", inputs=["seed"], outputs=["gen/{i}"]),
+    expand.RuleSpec("merge", inputs=["final/{i}"], outputs=["merged"]),
+    expand.RuleSpec("process", inputs=["gen/{i}"], outputs=["proc/{i}"]),
+    expand.RuleSpec("seed", outputs=["seed"]),
+]
+
+
+@query("SELECT 'merge' AS job_id, 0 AS level UNION ALL SELECT 'seed', 4 UNION ALL SELECT rule || '-' || range, level FROM range(3333), (VALUES ('finalize', 1), ('process', 2), ('gen', 3)) v(rule, level)")
+def resolve_four_layers(spark: SparkSession, sf: str) -> DataFrame:
+    """A graph of 3 * 3333 + 2 = 10,001 jobs in four layers, resolved on the driver as sessions do."""
+    jobs, _ = expand.chain_local(_LAYERS, {"i": [str(k) for k in range(3333)]}, ["merged"], set())
+    return spark.createDataFrame([(j.id, j.level) for j in jobs.values()], "job_id string, level int")
+
+
 @query("SELECT event_id, event, tag_k FROM engine_events WHERE event IN ('job_failed', 'job_completed') AND tag_k = '7'", ("engine_events",))
 def tag_filter(spark: SparkSession, sf: str) -> DataFrame:
     return views.engine_events(spark, sf).where(F.col("event").isin("job_failed", "job_completed") & (F.col("tag_k") == "7")).select("event_id", "event", "tag_k")

@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from loomwright.functions import patterns
 from loomwright.functions.parsing import kwarg_literal
 from loomwright.operators import cache, expand, graph
-from loomwright.session import materialize
 from loomwright.sources import codecs, files, sinks, workflow
 from loomwright.sources.workflow import Rule, Workflow
 
@@ -118,45 +117,43 @@ class Session:
 
     # planning
 
-    def target_paths(self) -> DataFrame:
+    def target_paths(self) -> list[str]:
         wanted = self.targets or workflow.default_targets(self.workflow)
-        out = self.spark.createDataFrame([], "path string")
-        for text in wanted:
-            out = out.unionByName(expand.expand_target(self.spark, text, self.workflow.config).select("path"))
-        return out.distinct()
-
-    def existing(self) -> DataFrame:
-        """Files that are there and aren't outputs of the workflow's rules."""
-        found = files.discover(self.spark, self.root)
-        made = [patterns.parse_pattern(o).regex(r.constraints) for r in expand.resolved([r.spec() for r in self.workflow.rules], self.workflow.config) for o in r.outputs]
-        rest = found.where(~F.col("path").startswith(".loom/") & ~F.col("path").contains(".staged-"))
-        for rx in made:
-            rest = rest.where(~F.col("path").rlike(rx[:-1] + "(/.*)?$"))
-        return rest
+        return list(dict.fromkeys(p for text in wanted for p in expand.target_paths(text, self.workflow.config)))
+
+    def _listing(self) -> list:
+        """All files below the root: path, full_path, mtime, size."""
+        return files.discover(self.spark, self.root, depth=64, skipped=()).collect()
+
+    def _sources(self) -> dict[str, object]:
+        """Files that are there and aren't outputs of the workflow's rules, by path."""
+        import re
+
+        specs = expand.resolved([r.spec() for r in self.workflow.rules], self.workflow.config)
+        made = [re.compile(patterns.parse_pattern(o).regex(r.constraints)[:-1] + "(/.*)?$").match for r in specs for o in r.outputs]
+        out = {}
+        for r in self._listing():
+            steps = r.path.split("/")
+            if len(steps) <= files.DEPTH + 1 and not set(steps[:-1]) & set(files.SKIPPED) and ".staged-" not in r.path and steps[0] != ".loom" and not any(m(r.path) for m in made):
+                out[r.path] = r
+        return out
 
     def graph(self) -> tuple[dict[str, Job], DataFrame]:
         """The jobs by id, and (from_job, to_job)."""
         if self._jobs is not None:
             return self._jobs, self._edges
-        specs, config = [r.spec() for r in self.workflow.rules], self.workflow.config
-        there = materialize(self.spark, self.existing())
-        self._files = {r.path: r for r in there.collect()}
-        jobs, needs, _ = expand.chain(self.spark, specs, config, self.target_paths(), there.select("path"))
-        jobs, needs = materialize(self.spark, jobs), materialize(self.spark, needs)
-        outputs = materialize(self.spark, expand.outputs_of(specs, config, jobs))
-        edges = materialize(self.spark, expand.job_edges(outputs, needs))
-        by: dict[str, Job] = {r.job_id: Job(r.job_id, self.workflow.rule(r.rule), dict(sorted((r.wildcards or {}).items())), r.level) for r in jobs.collect()}
-        for r in needs.orderBy("job_id", "place", "at").collect():
-            ref = by[r.job_id].rule.inputs[r.place]
-            by[r.job_id].inputs.append((ref.name, r.path, ref.format))
-        for job in by.values():
-            for ref in job.rule.outputs:
-                pattern = patterns.parse_pattern(patterns.config_substituted(ref.pattern, config))
-                job.outputs.append((patterns.fill(pattern, job.wildcards), ref.format))
-        for r in edges.collect():
-            by[r.to_job].upstream.add(r.from_job)
-        self._jobs, self._edges = by, edges
-        return by, edges
+        self._files = self._sources()
+        found, _ = expand.chain_local([r.spec() for r in self.workflow.rules], self.workflow.config, self.target_paths(), set(self._files), lambda p: self._exists(f"{self.root}/{p}"))
+        makers = {p: j.id for j in found.values() for p in j.outputs}
+        by: dict[str, Job] = {}
+        for j in found.values():
+            rule = self.workflow.rule(j.rule)
+            inputs = [(rule.inputs[place].name, path, rule.inputs[place].format) for place, path in j.inputs]
+            outputs = [(path, ref.format) for path, ref in zip(j.outputs, rule.outputs, strict=True)]
+            by[j.id] = Job(j.id, rule, j.wildcards, j.level, inputs, outputs, {makers[p] for _, p in j.inputs if p in makers})
+        self._jobs = by
+        self._edges = self.spark.createDataFrame(sorted((u, j.id) for j in by.values() for u in j.upstream), "from_job string, to_job string")
+        return by, self._edges
 
     def _table(self, name: str, schema: str) -> DataFrame:
         path = f"{self.state}/{name}"
@@ -180,29 +177,23 @@ class Session:
 
     def _settle(self, force: list[str] | None = None) -> dict[str, Job]:
         """Keys and reasons of all jobs."""
-        jobs, edges = self.graph()
+        jobs, _ = self.graph()
         producers = {p: j.id for j in jobs.values() for p, _ in j.outputs}
         outside = {p for j in jobs.values() for _, p, _ in j.inputs if p not in producers} | {p for j in jobs.values() for p in j.rule.param_files}
         hashes = self._source_hashes(outside)
         known = {r.cache_key for r in self._table("cache", "cache_key string, job_id string").select("cache_key").distinct().collect()}
-        for level in sorted({j.level for j in jobs.values()}, reverse=True):
-            part = [j for j in jobs.values() if j.level == level]
-            spec = [(j.id, f"{j.rule.source}", ",".join(f"{k}={v}" for k, v in j.wildcards.items()) or None, None, None, "spark") for j in part]
-            pairs = [(j.id, p, jobs[producers[p]].key if p in producers else hashes.get(p)) for j in part for p in [*(i[1] for i in j.inputs), *j.rule.param_files]]
-            keys = cache.cache_keys(self.spark.createDataFrame(spec, "job_id string, source string, params string, env string, shell string, platform string"), self.spark.createDataFrame(pairs, "job_id string, path string, hash string"))
-            for r in keys.collect():
-                jobs[r.job_id].key = r.cache_key
-        own = []
-        for j in jobs.values():
-            gone = [p for p, _ in j.outputs if not self._exists(f"{self.root}/{p}")]
+        there = {r.path for r in self._listing()} if jobs else set()
+        there |= {p.rsplit("/", n)[0] for p in there for n in range(1, p.count("/") + 1)}
+        order = sorted(jobs.values(), key=lambda j: -j.level)  # upstream first
+        for j in order:
+            pairs = [(p, jobs[producers[p]].key if p in producers else hashes.get(p)) for p in [*(i[1] for i in j.inputs), *j.rule.param_files]]
+            j.key = cache.cache_key_of(j.rule.source, pairs, ",".join(f"{k}={v}" for k, v in j.wildcards.items()) or None, None, None, "spark")
+            gone = [p for p, _ in j.outputs if p not in there]
             j.reason = "no key" if j.key is None else "never ran with these inputs" if j.key not in known else f"output missing: {gone[0]}" if gone else None
             if j.reason is None and force and j.rule.name in force:
                 j.reason = "forced"
-            if j.reason is not None:
-                own.append((j.id,))
-        if own:
-            for r in graph.rdeps(self.spark, edges, self.spark.createDataFrame(own, "id string")).collect():
-                jobs[r.id].reason = jobs[r.id].reason or "upstream runs"
+            if j.reason is None and any(jobs[u].reason for u in j.upstream):
+                j.reason = "upstream runs"
         return jobs
 
     def plan(self, force: list[str] | None = None) -> DataFrame:

@@ -103,3 +103,39 @@ def test_failures(spark, root):
         session(spark, root).run()
     rule.on_error, rule.retries = "ignore", 1
     assert s.run({"summary": broken}).ok
+
+
+def test_driver_and_tables_agree(spark):
+    from loomwright.operators import cache, expand
+
+    rules = [
+        expand.RuleSpec("all", ["r/{a}.txt"], ["done"]),
+        expand.RuleSpec("r", ["p/{a}-{b}.txt", "fixed"], ["r/{a}.txt"]),
+        expand.RuleSpec("p", ["raw/{b}"], ["p/{a}-{b}.txt"], constraints={"b": "[0-9]+"}),
+        expand.RuleSpec("p_low", ["raw/{b}"], ["p/{a}-{b}.txt"], priority=-1),
+    ]
+    config = {"a": ["x", "y-z"], "bs": ["1", "2"]}
+    there = {"raw/1", "raw/2", "fixed"}
+    jobs, sources = expand.chain_local(rules, config, ["done"], there)
+    frame = spark.createDataFrame([(p,) for p in there], "path string")
+    tables, needs, found = expand.chain(spark, rules, config, spark.createDataFrame([("done",)], "path string"), frame)
+    assert {(r.job_id, r.rule, r.level) for r in tables.collect()} == {(j.id, j.rule, j.level) for j in jobs.values()}
+    assert {(r.job_id, r.place, r.path) for r in needs.collect()} == {(j.id, n, p) for j in jobs.values() for n, p in j.inputs}
+    assert {r.path for r in found.collect()} == sources == there
+    spec = [("j", "sql:é", "p", None, None, "spark"), ("k", "x", None, "", None, "spark"), ("l", "x", None, None, None, "spark")]
+    inputs = [("j", "b", "2"), ("j", "a", "1"), ("k", "a", None)]
+    keys = cache.cache_keys(spark.createDataFrame(spec, "job_id string, source string, params string, env string, shell string, platform string"), spark.createDataFrame(inputs, "job_id string, path string, hash string"))
+    assert {r.job_id: r.cache_key for r in keys.collect()} == {s[0]: cache.cache_key_of(s[1], [(p, h) for i, p, h in inputs if i == s[0]], *s[2:]) for s in spec}
+
+
+@pytest.mark.parametrize(("rules", "targets", "message"), [
+    ([("a", ["b"], ["a"]), ("b", ["a"], ["b"])], ["a"], "cycle"),
+    ([("a", ["b"], ["a"])], ["a"], "no producer"),
+    ([("a", [], ["{x}"]), ("b", [], ["{y}"])], ["q"], "ambiguous"),
+    ([("a", ["{q}"], ["a"])], ["a"], "no values"),
+])
+def test_errors(rules, targets, message):
+    from loomwright.operators import expand
+
+    with pytest.raises(expand.ExpandError, match=message):
+        expand.chain_local([expand.RuleSpec(*r) for r in rules], {}, targets, set())
