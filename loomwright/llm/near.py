@@ -204,13 +204,17 @@ def bucket_links(batch: pd.DataFrame, forest: Forest) -> None:
 
 
 def confirm(batch: pd.DataFrame, forest: Forest) -> None:
-    """Joins the documents of each cluster block in ``batch`` that are linked by their full sets."""
+    """Joins the documents of each cluster block in ``batch`` that are linked by their full sets.  Sets are made from
+    the texts when a pair needs them: most documents of a dense cluster are joined after one or two comparisons."""
     limit = differing()
     for _, part in batch.groupby(["cluster", "i", "j"], sort=False):
-        ids, side = part["doc_id"].to_numpy(), part["side"].to_numpy()
-        sets = [shingles(t) for t in part["text"]]
-        sizes = np.array([len(s) for s in sets])
-        sketches = np.array([sketch(samples(s)) for s in sets])
+        ids, side, texts = part["doc_id"].tolist(), part["side"].to_numpy(), part["text"].tolist()
+        sets: dict[int, np.ndarray] = {}
+        drawn, sizes = part["sketch"].tolist(), part["n_shingles"].tolist()
+        for x in (x for x, s in enumerate(drawn) if s is None):
+            sets[x] = shingles(texts[x])
+            drawn[x], sizes[x] = sketch(samples(sets[x])).tobytes(), len(sets[x])
+        sizes, sketches = np.array(sizes, "i8"), np.frombuffer(b"".join(drawn), "u8").reshape(len(part), -1)
         crossing = part["i"].iloc[0] != part["j"].iloc[0]
         pairs = []
         for k in range(len(ids) - 1):
@@ -221,8 +225,12 @@ def confirm(batch: pd.DataFrame, forest: Forest) -> None:
                 fit &= side[k + 1 :] != side[k]
             pairs += [(int(near[x]), k, k + 1 + int(x)) for x in np.flatnonzero(fit)]
         for _, a, b in sorted(pairs):
-            if forest.root(int(ids[a])) != forest.root(int(ids[b])) and linked(sets[a], sets[b]):
-                forest.join(int(ids[a]), int(ids[b]))
+            if forest.root(ids[a]) != forest.root(ids[b]):
+                for x in (a, b):
+                    if x not in sets:
+                        sets[x] = shingles(texts[x])
+                if linked(sets[a], sets[b]):
+                    forest.join(ids[a], ids[b])
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -245,7 +253,7 @@ def dealt(rows: DataFrame, key: str, counts: DataFrame) -> DataFrame:
 def near_links(spark: SparkSession, docs: DataFrame, signed: DataFrame) -> DataFrame:
     """(node, root) of the class representatives that are linked with another class."""
     first = signed.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    firsts = materialize(spark, signed.where("class is not null").join(first, ["class", "doc_id"], "left_semi").select("doc_id", "class", "bands", "sketch").dropDuplicates(["class"]))
+    firsts = materialize(spark, signed.where("class is not null").join(first, ["class", "doc_id"], "left_semi").select("doc_id", "class", "n_shingles", "bands", "sketch").dropDuplicates(["class"]))
     banded = firsts.select("doc_id", F.posexplode("bands").alias("band", "key")).select("doc_id", F.xxhash64("band", "key").alias("bucket"))
     counts = materialize(spark, banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     shared = materialize(spark, dealt(banded, "bucket", counts))
@@ -254,11 +262,14 @@ def near_links(spark: SparkSession, docs: DataFrame, signed: DataFrame) -> DataF
     candidates = buckets.repartition(*group).sortWithinPartitions(*group).mapInPandas(in_groups(bucket_links, group), "a long, b long")
     clusters = materialize(spark, components(spark, candidates).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")))
     sizes = materialize(spark, clusters.groupBy("cluster").agg(F.count("*").alias("n")))
-    members = materialize(spark, dealt(clusters, "cluster", sizes))
+    # a doc_id with several texts has no one sketch: theirs are made again from the texts
+    one = F.count("*") == 1
+    drawn = firsts.groupBy("doc_id").agg(F.when(one, F.first("sketch")).alias("sketch"), F.when(one, F.first("n_shingles")).alias("n_shingles"))
+    members = materialize(spark, dealt(clusters.join(drawn, "doc_id"), "cluster", sizes))
     small = F.broadcast if members.count() <= BROADCAST_ROWS else (lambda x: x)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(members), "doc_id")
     group = ["cluster", "i", "j"]
-    confirmed = texts.select(*group, "side", "doc_id", "text").repartition(*group).sortWithinPartitions(*group).mapInPandas(in_groups(confirm, group), "a long, b long")
+    confirmed = texts.select(*group, "side", "doc_id", "n_shingles", "sketch", "text").repartition(*group).sortWithinPartitions(*group).mapInPandas(in_groups(confirm, group), "a long, b long")
     return components(spark, confirmed)
 
 

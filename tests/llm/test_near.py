@@ -81,6 +81,14 @@ def test_families_against_brute_force(spark, block, monkeypatch):
     assert got(near.near_duplicates(spark, df)) == sorted(brute(docs), key=str)
 
 
+def test_two_texts_of_one_id_are_one_node(spark):
+    rng = random.Random(9)
+    a, b = family(rng, 3), family(rng, 3)
+    docs = [(1, a[0]), (1, b[0]), (2, a[1]), (3, b[1]), (4, "something else that is alone here")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in near.near_duplicates(spark, df).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
 def test_empty(spark):
     assert near.near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
