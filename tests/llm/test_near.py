@@ -83,7 +83,7 @@ def test_families_against_brute_force(spark, block, monkeypatch):
 
 def test_two_texts_of_one_id_are_one_node(spark):
     rng = random.Random(9)
-    a, b = family(rng, 3), family(rng, 3)
+    a, b = ([t, "other " + t.split(" ", 1)[1]] for t in family(rng, 1) + family(rng, 1))
     docs = [(1, a[0]), (1, b[0]), (2, a[1]), (3, b[1]), (4, "something else that is alone here")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in near.near_duplicates(spark, df).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
