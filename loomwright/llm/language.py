@@ -109,7 +109,8 @@ def cluster(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(FOLDS) != HELD_OUT))
+    usable = F.col("lang").isNotNull() & (remainder(FOLDS) != HELD_OUT)
+    keys, known = docs.select("doc_id", "lang").where(usable), docs.select("doc_id", "lang", "text").where(usable & F.col("text").isNotNull())
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -120,7 +121,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 rows.append((lang, n, at.astype("<u2").tobytes(), counts[at].astype("<f4").tobytes()))
             yield pd.DataFrame(rows, columns=["lang", "n", "at", "counts"])
 
-    chosen = smallest_hashes(known, sample).select("lang", "text").mapInPandas(counted, "lang string, n long, at binary, counts binary")
+    chosen = smallest_hashes(known, sample, keys).select("lang", "text").mapInPandas(counted, "lang string, n long, at binary, counts binary")
     rows = sorted((tuple(r) for r in chosen.toLocalIterator()), key=lambda r: (r[0], r[1], bytes(r[2]), bytes(r[3])))
     rows = [r for r in rows if r[1]]
     if not rows:

@@ -6,13 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def smallest_hashes(df: DataFrame, n: int) -> DataFrame:
-    """About ``n`` rows of ``df`` (all, if it has fewer): those with the smallest hashes of doc_id.
+def smallest_hashes(df: DataFrame, n: int, keys: DataFrame | None = None) -> DataFrame:
+    """One row for each of the ``n`` doc_ids (all, if there are fewer) with the smallest hashes.
 
-    The cut is found from the hashes alone, so no text travels for it.  Rows of equal doc_id go together."""
+    The cut is found from ``keys`` (doc_id; by default those of ``df``), so no text is read for it.  Hashes are even,
+    so all but about 2n of them are filtered where they are read, and little is shuffled at any size.  Of rows that
+    share a doc_id one is taken."""
     hashed = F.xxhash64(F.col("doc_id").cast("string"))
-    cut = df.select(hashed.alias("h")).distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
-    return df if cut is None else df.where(hashed <= F.lit(cut))
+    keys = (df if keys is None else keys).select(hashed.alias("h"))
+    rows = keys.count()
+    if rows > 4 * n:
+        keys = keys.where(F.col("h") <= F.lit(int(-(2**63) + 2**64 * (2 * n / rows))))
+    cut = keys.distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    if cut is None:  # no keys, or a few doc_ids that all are above the filter
+        cut = 2**63 - 1 if rows <= 4 * n else None
+    chosen = df if cut is None else df.where(hashed <= F.lit(cut))
+    return chosen.dropDuplicates(["doc_id"]).limit(n)
 
 
 def remainder(n: int):
