@@ -55,7 +55,7 @@ def levels(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame
     """(id, level): the longest distance from a root; a topological order is by level, then id.
 
     A round moves all direct successors one level on; nodes that are reached again move with it."""
-    most = nodes.count()
+    most = nodes.select("id").distinct().count()
     roots = nodes.select("id").join(edges.select(F.col("to_job").alias("id")), "id", "left_anti")
     frontier = materialize(spark, roots.distinct().withColumn("level", F.lit(0)))
     found, level = frontier, 0
@@ -65,7 +65,10 @@ def levels(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame
             raise CycleError("the graph has a cycle")
         frontier = materialize(spark, frontier.select(F.col("id").alias("from_job")).join(edges, "from_job").select(F.col("to_job").alias("id")).distinct().withColumn("level", F.lit(level)))
         found = found.unionByName(frontier)
-    return found.groupBy("id").agg(F.max("level").alias("level"))
+    out = materialize(spark, found.groupBy("id").agg(F.max("level").alias("level")))
+    if out.count() < most:
+        raise CycleError("the graph has a cycle that no root leads to")
+    return out
 
 
 def critical_path(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -34,6 +34,17 @@ def graph_allpaths(spark: SparkSession, sf: str) -> DataFrame:
     return graph.all_paths(spark, views.job_edges(spark, sf), _seed(spark, 3), _seed(spark, 150))
 
 
+@query(
+    """WITH c AS (SELECT from_job AS id, 1 AS depth FROM job_edges WHERE to_job = 1500 UNION SELECT e.from_job, depth + 1 FROM job_edges e JOIN c ON e.to_job = c.id)
+SELECT id, min(depth) AS depth FROM c GROUP BY id""",
+    ("job_edges",),
+    recursive=True,
+)
+def graph_explain(spark: SparkSession, sf: str) -> DataFrame:
+    """What a target needs, nearest first."""
+    return graph.deps(spark, views.job_edges(spark, sf), _seed(spark, 1500)).orderBy("depth", "id")
+
+
 _LEVELS = """l AS (SELECT id, 0 AS level FROM job_nodes WHERE id NOT IN (SELECT to_job FROM job_edges)
   UNION SELECT e.to_job, level + 1 FROM l JOIN job_edges e ON e.from_job = l.id), m AS (SELECT id, max(level) AS level FROM l GROUP BY id)"""
 
