@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.session import materialize
+from loomwright.session import counted, materialize
 
 
 class CycleError(ValueError):
@@ -26,8 +26,8 @@ def closure(spark: SparkSession, edges: DataFrame, seeds: DataFrame) -> DataFram
     while True:
         depth += 1
         step = frontier.select(F.col("id").alias("from_job")).join(edges, "from_job").select(F.col("to_job").alias("id")).distinct()
-        frontier = materialize(spark, step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        frontier, n = counted(spark, step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
+        if not n:
             return seen.where("depth > 0")
         seen = seen.unionByName(frontier)
 
@@ -57,16 +57,16 @@ def levels(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame
     A round moves all direct successors one level on; nodes that are reached again move with it."""
     most = nodes.select("id").distinct().count()
     roots = nodes.select("id").join(edges.select(F.col("to_job").alias("id")), "id", "left_anti")
-    frontier = materialize(spark, roots.distinct().withColumn("level", F.lit(0)))
+    frontier, n = counted(spark, roots.distinct().withColumn("level", F.lit(0)))
     found, level = frontier, 0
-    while not frontier.isEmpty():
+    while n:
         level += 1
         if level > most:
             raise CycleError("the graph has a cycle")
-        frontier = materialize(spark, frontier.select(F.col("id").alias("from_job")).join(edges, "from_job").select(F.col("to_job").alias("id")).distinct().withColumn("level", F.lit(level)))
+        frontier, n = counted(spark, frontier.select(F.col("id").alias("from_job")).join(edges, "from_job").select(F.col("to_job").alias("id")).distinct().withColumn("level", F.lit(level)))
         found = found.unionByName(frontier)
-    out = materialize(spark, found.groupBy("id").agg(F.max("level").alias("level")))
-    if out.count() < most:
+    out, placed = counted(spark, found.groupBy("id").agg(F.max("level").alias("level")))
+    if placed < most:
         raise CycleError("the graph has a cycle that no root leads to")
     return out
 
@@ -104,20 +104,18 @@ def bridged(spark: SparkSession, edges: DataFrame, skipped: DataFrame) -> DataFr
         outside = frontier.join(gone.withColumnRenamed("id", "to_job"), "to_job", "left_anti").select("from_job", "to_job")
         done = outside if done is None else done.unionByName(outside)
         step = inside.select("from_job", F.col("to_job").alias("via")).join(edges.select(F.col("from_job").alias("via"), "to_job"), "via").select("from_job", "to_job").distinct()
-        frontier = materialize(spark, step.join(seen, ["from_job", "to_job"], "left_anti"))
-        if frontier.isEmpty():
+        frontier, n = counted(spark, step.join(seen, ["from_job", "to_job"], "left_anti"))
+        if not n:
             return done.distinct()
         seen = materialize(spark, seen.unionByName(frontier))
 
 
 def in_cycles(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """Nodes that stay when roots and leaves are peeled off again and again: those on cycles or between two."""
-    left = materialize(spark, edges.select("from_job", "to_job").distinct())
-    n = left.count()
+    left, n = counted(spark, edges.select("from_job", "to_job").distinct())
     while n:
         inner = left.join(left.select(F.col("to_job").alias("from_job")).distinct(), "from_job", "left_semi").join(left.select(F.col("from_job").alias("to_job")).distinct(), "to_job", "left_semi")
-        kept = materialize(spark, inner.select("from_job", "to_job"))
-        m = kept.count()
+        kept, m = counted(spark, inner.select("from_job", "to_job"))
         if m == n:
             break
         left, n = kept, m

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "loomwright", master: str = "local[8]", shuffle_partitions: int = 8) -> SparkSession:
@@ -40,8 +41,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's own folder within the shared one."""
+    return f"{shared_dir(spark)}/loomwright/{spark.sparkContext.applicationId}"
+
+
 def materialize(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, lost executors cost nothing."""
-    path = f"{shared_dir(spark)}/loomwright/{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def counted(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, int]:
+    """:func:`materialize` with the number of rows, which is observed while they are written."""
+    seen = Observation()
+    out = materialize(spark, df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what this application has materialized; frames that read it can't be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
