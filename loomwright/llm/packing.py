@@ -111,7 +111,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, capacity: int = CAPACI
     slots = spark.createDataFrame(lines, "p_length long, first_rank long, n long, first_sequence long, offset long")
     small = F.broadcast if len(lines) <= BROADCAST_LINES else (lambda x: x)
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = pieces.withColumn("own_rank", F.row_number().over(own)).join(F.broadcast(shift), ["length", "salt"])
+    ranked = pieces.withColumn("own_rank", F.row_number().over(own)).join(shift, ["length", "salt"])
     rank = F.col("shift") + F.col("own_rank") - 1
     inside = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("n"))
     placed = ranked.withColumn("rank", rank).join(small(slots), inside)
