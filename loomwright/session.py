@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +27,26 @@ def build_session(app: str = "loomwright", master: str = "local[8]", shuffle_par
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, so that Python functions find it there whatever
+    their working directory and path are."""
+    context = spark.sparkContext
+    package = os.path.dirname(os.path.abspath(__file__))
+    if getattr(context, "_loomwright_shipped", False) or not os.path.isdir(package):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="loomwright-"), "loomwright.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                out.write(full, os.path.join("loomwright", os.path.relpath(full, package)))
+    context.addPyFile(path)
+    context._loomwright_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder; the path may be any that Spark reads."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,6 +68,7 @@ def scratch(spark: SparkSession) -> str:
 
 def materialize(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, lost executors cost nothing."""
+    ship(spark)
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
