@@ -129,8 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[
             out = []
             for text in batch["text"]:
                 bag = [[number[f] for w in sorted(s) for f in features(w) if f in number] for s in sentences(text)]
-                empty = sum(not s for s in bag)
-                out.append([s for s in bag if s] + [[]] * min(empty, 1))
+                out.append(bag or [[]])  # sentences without a feature count too, as they do in a score
             yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "bag": out})
 
     told = rows.mapInPandas(bags, "doc_id long, toxic int, bag array<array<int>>").collect()
