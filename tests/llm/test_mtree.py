@@ -22,8 +22,9 @@ def got(df):
     return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in df.collect())
 
 
-@pytest.mark.parametrize(("leaf", "shard"), [(256, 8192), (4, 40)])
-def test_against_brute_force(spark, leaf, shard, monkeypatch):
+@pytest.mark.parametrize(("leaf", "shard", "pages"), [(256, 8192, 256), (4, 40, 256), (8, 20, 2)])
+def test_against_brute_force(spark, leaf, shard, pages, monkeypatch):
+    monkeypatch.setattr(mtree, "PAGES", pages)  # with 2, there are more trees than bounds may be broadcast for
     monkeypatch.setattr(mtree, "LEAF", leaf)
     monkeypatch.setattr(mtree, "SHARD", shard)
     rng = np.random.default_rng(leaf)

@@ -73,6 +73,7 @@ def family(rng, copies, words=120):
 @pytest.mark.parametrize("block", [512, 7])
 def test_families_against_brute_force(spark, block, monkeypatch):
     monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "BROADCAST_ROWS", 200_000 if block == 512 else 0)
     rng = random.Random(block)
     texts = [t for k in (1, 1, 1, 2, 3, 8, 40) for t in family(rng, k)] + ["same text here now ok"] * 30
     docs = list(enumerate(rng.sample(texts, len(texts))))
