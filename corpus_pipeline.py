@@ -23,9 +23,13 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.where(~language.classifier(spark, language.fit(docs))("text")["rejected"])
 
 
+#: Percent of similarity from which the pipeline's texts are near-duplicates; op1 has its own.
+NEAR_PERCENT = 80
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group stays, once; rows without a doc_id stay."""
-    found = near.near_duplicates(spark, docs)
+    found = near.near_duplicates(spark, docs, NEAR_PERCENT)
     gone = materialize(spark, found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
     left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
     repeated = materialize(spark, docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_again")))

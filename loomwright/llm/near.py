@@ -1,7 +1,7 @@
 """Near-duplicate documents by MinHash with odd sketches.
 
 A document's set holds its distinct shingles of five words.  Equal sets are one class, and only the class's smallest
-document goes on.  ``SAMPLES`` MinHash samples give ``BANDS`` keys of ``ROWS`` samples; all samples are also folded
+document goes on.  ``SAMPLES`` MinHash samples give ``bands()`` keys of ``ROWS`` samples; all samples are also folded
 into a parity bitmap (an odd sketch), and the population count of the XOR of two bitmaps estimates how many samples
 differ, which at high similarity is far more precise for its bytes than the samples themselves.  Within a bucket only
 pairs whose sketches could belong to linked sets count; they join documents into candidate clusters, and within a
@@ -9,7 +9,7 @@ cluster every such pair that isn't connected yet is confirmed on the full sets.
 
 Skew: copies are folded before banding; buckets and clusters of more than ``BLOCK`` documents are dealt out as pairs of
 blocks, so a task holds two blocks at most; nothing is capped or dropped.  A pair that is linked is missed only if no
-band agrees (under 1e-5 at a similarity of 0.85) or its sketches differ by ``MARGIN`` standard errors more than they should.
+band agrees (under ``MISSED`` at the threshold, for which the number of bands is chosen) or its sketches differ by ``MARGIN`` standard errors more than they should.
 
 Defined cases: a text without words (or null) has an empty set and is linked with nothing; with fewer than five words
 the whole sequence is its one shingle; rows with a null doc_id are linked with nothing, have a null component and are
@@ -18,7 +18,9 @@ kept; rows that share a doc_id are one node, each with its own set; repeated row
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -29,9 +31,11 @@ from pyspark.sql import functions as F
 from loomwright.llm.components import components
 from loomwright.session import materialize, table
 
-SHINGLE, BANDS, ROWS, SAMPLES, BITS = 5, 16, 4, 256, 512
-#: Links: 100 * intersection >= PERCENT * union.
+SHINGLE, ROWS, SAMPLES, BITS = 5, 4, 256, 512
+#: Links: 100 * intersection >= percent * union; this is the percent of op1.
 PERCENT = 85
+#: Chance that no band of a pair at the threshold agrees.
+MISSED = 1e-5
 #: Standard errors of the estimate that a candidate may fall short by.
 MARGIN = 4.0
 #: Documents of a bucket or cluster that are dealt to one task together.
@@ -85,19 +89,28 @@ def sketch(least: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype("u1")).view("u8")
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band."""
-    key = np.arange(1, BANDS + 1, dtype="u8") * np.uint64(0xC2B2AE3D27D4EB4F)
+def bands(percent: int = PERCENT) -> int:
+    """Bands that miss a pair at the threshold with a chance of ``MISSED`` at most: 16 at 85, 22 at 80."""
+    n = math.ceil(math.log(MISSED) / math.log1p(-((percent / 100) ** ROWS))) if percent < 100 else 1
+    if not 0 < n <= SAMPLES // ROWS:
+        raise ValueError(f"{SAMPLES} samples are too few for a threshold of {percent} percent")
+    return n
+
+
+def band_keys(least: np.ndarray, n: int) -> np.ndarray:
+    """One 64-bit key for each of ``n`` bands."""
+    key = np.arange(1, n + 1, dtype="u8") * np.uint64(0xC2B2AE3D27D4EB4F)
     for k in range(ROWS):
-        key = mix(key ^ least[k : BANDS * ROWS : ROWS].astype("u8") * _POWERS[k])
+        key = mix(key ^ least[k : n * ROWS : ROWS].astype("u8") * _POWERS[k])
     return key.view("i8")
 
 
 SIGNED = "doc_id long, n_shingles long, class binary, bands array<long>, sketch binary"
 
 
-def sign(docs: DataFrame) -> DataFrame:
+def sign(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """n_shingles, the class (a digest of the whole set), band keys and odd sketch of each row."""
+    n = bands(percent)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -108,15 +121,15 @@ def sign(docs: DataFrame) -> DataFrame:
                     out.append((doc, 0, None, None, None))
                     continue
                 least = samples(own)
-                out.append((doc, len(own), xxhash.xxh128_digest(own.tobytes()), band_keys(least), sketch(least).tobytes()))
+                out.append((doc, len(own), xxhash.xxh128_digest(own.tobytes()), band_keys(least, n), sketch(least).tobytes()))
             yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "class", "bands", "sketch"]).astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(rows, SIGNED)
 
 
-def differing() -> int:
+def differing(percent: int = PERCENT) -> int:
     """Sketch bits that a pair at the threshold differs in, with the margin."""
-    j = PERCENT / 100
+    j = percent / 100
     j -= MARGIN * (j * (1 - j) / SAMPLES) ** 0.5
     return int(np.ceil(BITS / 2 * (1 - np.exp(-4 * SAMPLES * (1 - j) / BITS)) + MARGIN / 2 * (2 * SAMPLES * (1 - j)) ** 0.5 / 2))
 
@@ -183,13 +196,13 @@ def likely(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype="i8")
 
 
-def bucket_links(batch: pd.DataFrame, forest: Forest) -> None:
+def bucket_links(batch: pd.DataFrame, forest: Forest, percent: int = PERCENT) -> None:
     """Joins the documents of each bucket in ``batch`` (several whole buckets, sorted) whose sketches are close enough.
     All pairs at a distance of d rows are compared at once."""
     ids, side = batch["doc_id"].to_numpy(), batch["side"].to_numpy()
     bucket, i, j = (batch[c].to_numpy() for c in ("bucket", "i", "j"))
     sketches = np.frombuffer(b"".join(batch["sketch"]), "u8").reshape(len(batch), -1)
-    limit, d = differing(), 1
+    limit, d = differing(percent), 1
     left = np.arange(len(ids) - 1)
     while len(left):
         left = left[left + d < len(ids)]
@@ -203,10 +216,10 @@ def bucket_links(batch: pd.DataFrame, forest: Forest) -> None:
         d += 1
 
 
-def confirm(batch: pd.DataFrame, forest: Forest) -> None:
+def confirm(batch: pd.DataFrame, forest: Forest, percent: int = PERCENT) -> None:
     """Joins the documents of each cluster block in ``batch`` that are linked by their full sets.  Sets are made from
     the texts when a pair needs them: most documents of a dense cluster are joined after one or two comparisons."""
-    limit = differing()
+    limit = differing(percent)
     for _, part in batch.groupby(["cluster", "i", "j"], sort=False):
         ids, side, texts = part["doc_id"].tolist(), part["side"].to_numpy(), part["text"].tolist()
         sets: dict[int, np.ndarray] = {}
@@ -220,7 +233,7 @@ def confirm(batch: pd.DataFrame, forest: Forest) -> None:
         for k in range(len(ids) - 1):
             near = np.bitwise_count(sketches[k + 1 :] ^ sketches[k]).sum(-1, dtype="i8")
             low, high = np.minimum(sizes[k + 1 :], sizes[k]), np.maximum(sizes[k + 1 :], sizes[k])
-            fit = (near <= limit) & (100 * low >= PERCENT * high)
+            fit = (near <= limit) & (100 * low >= percent * high)
             if crossing:
                 fit &= side[k + 1 :] != side[k]
             pairs += [(int(near[x]), k, k + 1 + int(x)) for x in np.flatnonzero(fit)]
@@ -229,16 +242,16 @@ def confirm(batch: pd.DataFrame, forest: Forest) -> None:
                 for x in (a, b):
                     if x not in sets:
                         sets[x] = shingles(texts[x])
-                if linked(sets[a], sets[b]):
+                if linked(sets[a], sets[b], percent):
                     forest.join(ids[a], ids[b])
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     if len(a) > len(b):
         a, b = b, a
     at = np.searchsorted(b, a)
     both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def dealt(rows: DataFrame, key: str, counts: DataFrame) -> DataFrame:
@@ -250,7 +263,7 @@ def dealt(rows: DataFrame, key: str, counts: DataFrame) -> DataFrame:
     return each.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", F.col("own") == F.col("i")).drop("n", "blocks", "own", "other")
 
 
-def near_links(spark: SparkSession, docs: DataFrame, signed: DataFrame) -> DataFrame:
+def near_links(spark: SparkSession, docs: DataFrame, signed: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, root) of the class representatives that are linked with another class."""
     first = signed.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     firsts = materialize(spark, signed.where("class is not null").join(first, ["class", "doc_id"], "left_semi").select("doc_id", "class", "n_shingles", "bands", "sketch").dropDuplicates(["class"]))
@@ -259,7 +272,7 @@ def near_links(spark: SparkSession, docs: DataFrame, signed: DataFrame) -> DataF
     shared = materialize(spark, dealt(banded, "bucket", counts))
     buckets = shared.join(firsts.select("doc_id", "sketch"), "doc_id").select("bucket", "i", "j", "side", "doc_id", "sketch")
     group = ["bucket", "i", "j"]
-    candidates = buckets.repartition(*group).sortWithinPartitions(*group).mapInPandas(in_groups(bucket_links, group), "a long, b long")
+    candidates = buckets.repartition(*group).sortWithinPartitions(*group).mapInPandas(in_groups(partial(bucket_links, percent=percent), group), "a long, b long")
     clusters = materialize(spark, components(spark, candidates).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")))
     sizes = materialize(spark, clusters.groupBy("cluster").agg(F.count("*").alias("n")))
     # a doc_id with several texts has no one sketch: theirs are made again from the texts
@@ -269,14 +282,15 @@ def near_links(spark: SparkSession, docs: DataFrame, signed: DataFrame) -> DataF
     small = F.broadcast if members.count() <= BROADCAST_ROWS else (lambda x: x)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(members), "doc_id")
     group = ["cluster", "i", "j"]
-    confirmed = texts.select(*group, "side", "doc_id", "n_shingles", "sketch", "text").repartition(*group).sortWithinPartitions(*group).mapInPandas(in_groups(confirm, group), "a long, b long")
+    confirmed = texts.select(*group, "side", "doc_id", "n_shingles", "sketch", "text").repartition(*group).sortWithinPartitions(*group).mapInPandas(in_groups(partial(confirm, percent=percent), group), "a long, b long")
     return components(spark, confirmed)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text)."""
-    signed = materialize(spark, sign(docs))
-    roots = near_links(spark, docs, signed)
+def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text); sets that are similar by
+    ``percent`` or more are linked."""
+    signed = materialize(spark, sign(docs, percent))
+    roots = near_links(spark, docs, signed, percent)
     first = signed.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("node"))
     classes = materialize(spark, first.join(roots, "node", "left").select("class", F.coalesce("root", "node").alias("component_id")))
     rows = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class"))
@@ -286,7 +300,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def op1_minhash_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, table(spark, sf_dir, "documents"))
+    return near_duplicates(spark, table(spark, sf_dir, "documents"), PERCENT)
 
 
 #: The same over DuckDB, from all pairs that share a shingle.
