@@ -283,7 +283,11 @@ def near_links(spark: SparkSession, docs: DataFrame, signed: DataFrame, percent:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(members), "doc_id")
     group = ["cluster", "i", "j"]
     confirmed = texts.select(*group, "side", "doc_id", "n_shingles", "sketch", "text").repartition(*group).sortWithinPartitions(*group).mapInPandas(in_groups(partial(confirm, percent=percent), group), "a long, b long")
-    return components(spark, confirmed)
+    # an id with several texts joins the classes of all of them
+    rows = signed.where("class is not null and doc_id is not null").select("doc_id", "class")
+    several = rows.groupBy("doc_id").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("doc_id")
+    shared = rows.join(several, "doc_id", "left_semi").join(first.withColumnRenamed("doc_id", "b"), "class").select(F.col("doc_id").alias("a"), "b")
+    return components(spark, confirmed.unionByName(shared))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:

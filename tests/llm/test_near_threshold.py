@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from tests.llm.test_near import word_set
+from tests.llm.test_near import brute, word_set
 
 import corpus_pipeline as c
 from loomwright.llm import near
@@ -27,6 +27,10 @@ def roots(docs, percent):
     return {d: root(d) for d in up}
 
 
+def roots_with_ids(docs):
+    return {d: c for d, _, c in brute(docs)}
+
+
 def cut(text, words):
     """The text without its last words: of n shingles so many go."""
     return " ".join(text.split()[:-words])
@@ -65,6 +69,15 @@ def test_pipeline_on_documents(spark):
     assert {r.doc_id for r in c.drop_near_duplicates(spark, df, "").collect()} == {d for d, r in want.items() if d == r}
 
 
+def test_copies_under_shared_ids_join_their_classes(spark):
+    rng = random.Random(8)
+    a, b, d = (" ".join(f"w{rng.randrange(9000)}" for _ in range(100)) for _ in range(3))
+    docs = [(3, a), (5, a), (5, b), (6, cut(b, 5)), (7, b), (8, a), (9, d), (10, b), (10, d), (11, "alone in all of this")]
+    rows = near.near_duplicates(spark, frame(spark, docs)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == sorted((i, roots_with_ids(docs)[i]) for i, _ in docs)
+    assert {r.component_id for r in rows} == {3, 11}
+
+
 def test_bands_find_pairs_at_the_threshold():
     assert [near.bands(p) for p in (80, 85)] == [22, 16]
     for percent in (75, 80, 85, 90, 99, 100):
