@@ -3,8 +3,10 @@ centroids for each language, by cosine, with rejection by distance.
 
 Letters are lower-cased and everything else becomes one separator; n-grams of 2 and 3 are hashed into ``WIDTH``
 buckets.  Spherical k-means gives each language up to ``CENTROIDS`` centroids.  A text is rejected if its cosine to
-the nearest centroid is under ``SLACK`` times the lowest that any document of the sample with as many letters (by
-powers of two) had to its own language: short texts lie far from every centroid and aren't junk for that; those under ``FEWEST`` letters are never rejected, nor is any where fewer than ``ENOUGH`` documents were learned from.
+the nearest centroid is under the ``LOW`` quantile of those that documents of the sample with about as many letters (by
+powers of two, and as many lengths on either side as give ``ENOUGH`` documents) had to their own language: short texts
+lie far from every centroid and aren't junk for that, and any text's cosine rises with its length.  Texts under
+``FEWEST`` letters are never rejected, nor is any where fewer than ``ENOUGH`` documents were learned from.
 
 Fitting uses a bounded sample (``SAMPLE`` documents with a language); whole texts of all documents are classified.
 
@@ -26,12 +28,17 @@ from pyspark.sql import functions as F
 from loomwright.llm.sampling import remainder, smallest_hashes
 from loomwright.session import table
 
-WIDTH, CENTROIDS, SAMPLE, SLACK, STEPS = 4096, 4, 4000, 0.3, 12
+WIDTH, CENTROIDS, SAMPLE, STEPS = 4096, 4, 4000, 12
+#: Quantile of own-language cosines that is too low, and how many times as far as the quantile of 5 % it lies from the
+#: median if they are normal: under 1 / LOW documents the lowest of them may lie above it.
+LOW, TAIL = 0.002, 1.75
 #: Letters under which a text is too short to be rejected.
 FEWEST = 16
 #: Documents to learn from under which no distance counts as too far.
 ENOUGH = 100
 FOLDS, HELD_OUT = 3, 1
+#: What a cosine may differ by where it is computed again.
+ROUNDING = 1e-4
 #: Characters that are hashed at a time.
 SLICE = 2_000_000
 _LETTERS: list[np.ndarray] = []
@@ -78,7 +85,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     names: list[str]  # of each centroid
-    floors: np.ndarray  # lowest cosine by power of two of the letters
+    floors: np.ndarray  # cosine that is too low, by power of two of the letters
 
     def classify(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         out = []
@@ -108,6 +115,19 @@ def cluster(x: np.ndarray, k: int) -> np.ndarray:
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
 
 
+def limits(near: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The floor of each power of two of the letters, from own-language cosines; ``ROUNDING`` under them."""
+    floors = np.zeros(41)
+    for b in range(FEWEST.bit_length(), 41) if len(near) else ():
+        away = np.abs(bits - b)
+        own = near[away <= np.sort(away)[min(len(away), ENOUGH) - 1]]
+        floors[b] = np.quantile(own, LOW, method="lower") - ROUNDING
+        if len(own) < 1 / LOW:
+            some, half = np.quantile(own, [0.05, 0.5])
+            floors[b] = min(floors[b], half - TAIL * (half - some))
+    return floors
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     usable = F.col("lang").isNotNull() & (remainder(FOLDS) != HELD_OUT)
     keys, known = docs.select("doc_id", "lang").where(usable), docs.select("doc_id", "lang", "text").where(usable & F.col("text").isNotNull())
@@ -140,11 +160,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     c = np.concatenate(centroids).astype("f4")
     near = np.where(np.array(names)[None, :] == langs[:, None], x @ c.T, -1).max(1)
     bits = np.array([min(r[1].bit_length(), 40) for r in rows])
-    lowest = np.array([near[bits == b].min() if (bits == b).any() else np.inf for b in range(41)])
-    lowest = np.minimum.accumulate(lowest[::-1])[::-1]  # a shorter text may lie farther than any longer one
-    floors = SLACK * np.array([min(lowest[b], near[bits <= b].min() if b > bits.max() else np.inf) for b in range(41)])
-    floors[: FEWEST.bit_length() if len(rows) >= ENOUGH else None] = 0
-    return Model(idf, c, names, np.where(np.isfinite(floors), floors, 0))
+    return Model(idf, c, names, limits(near[bits >= FEWEST.bit_length()], bits[bits >= FEWEST.bit_length()]) if len(rows) >= ENOUGH else np.zeros(41))
 
 
 FOUND = "lang_pred string, score double, rejected boolean"
