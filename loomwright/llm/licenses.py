@@ -1,12 +1,16 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
-A block is a line.  A block matches a template if it holds at least ``THRESHOLD`` of the template's distinct words.
+A block is a line, or a run of words over several lines that is no longer than the template's words / ``THRESHOLD``.  A
+block matches a template if it holds at least ``THRESHOLD`` of the template's distinct words.  Runs hold no word of a
+line that matches by itself and don't overlap; where they would, the one that holds most goes first, then the shortest.
 The join is exact and filtered three ways, over one global order of the templates' words, rarest first, counted over
 every block of the corpus:
 prefix - a template of n words of which m must be there can only match a block that holds one of its n - m + 1 rarest;
 length - a block needs m distinct words of the vocabulary;
 position - where the first common word stands at place p of the template and s of the block's own ordered words, no
 more than min(n - p, size - s) words can be common.
+Runs over lines are sought from the places of a template's words, in texts that hold as many as must be there.  The SQL
+has lines only, so it gives the same rows where no notice is wrapped.
 The templates are a parameter of bounded size and travel to the blocks, so that the texts aren't shuffled.
 
 Base labels are places where a phrase's words follow each other, anywhere in a text; they are kept beside the
@@ -68,6 +72,7 @@ class Index:
             for p in range(len(own) - need + 1):
                 self.prefix.setdefault(own[p], []).append((len(self.templates), p))
             self.templates.append((name, label, own, need))
+        self.spans = {name: math.ceil(len(words_of(text)) / threshold - 1e-9) for name, (_, text) in templates.items()}
 
     def matches(self, words: list[bytes]) -> list[tuple[str, str, float]]:
         """(template, label, containment) of a block's words."""
@@ -87,6 +92,42 @@ class Index:
                     out.append((name, label, common / len(own)))
         return out
 
+    def across(self, lines: list[list[bytes]], taken: set[tuple[str, int]]) -> list[tuple[int, int, int, str, str, float]]:
+        """(line, first word, words, template, label, containment) of runs over several lines; ``taken`` has the template
+        and line of blocks that match by themselves."""
+        place, out = self.place, []
+        present = {place[w] for w in place.keys() & set().union(*lines)}
+        wanted = [t for t in self.templates if len(present.intersection(t[2])) >= t[3]]
+        if len(lines) < 2 or not wanted:
+            return out
+        known, first = [], 0
+        for n, line in enumerate(lines):
+            known += [(first + k, n, place[w]) for k, w in enumerate(line) if w in place]
+            first += len(line)
+        for name, label, own, need in wanted:
+            words, span = set(own), self.spans[name]
+            hits = [h for h in known if h[2] in words and (name, h[1]) not in taken]
+
+            def run(start: int) -> tuple[int, int, int, int]:
+                held, last, at = set(), start, start
+                while at < len(hits) and hits[at][0] - hits[start][0] < span:
+                    if hits[at][2] not in held:
+                        held.add(hits[at][2])
+                        last = at
+                    at += 1
+                return len(held), hits[start][0] - hits[last][0], start, last
+
+            at = 0
+            while at < len(hits):
+                found = run(at)
+                if found[0] < need:
+                    at += 1
+                    continue
+                common, back, start, last = max(run(k) for k in range(at, found[3] + 1))
+                out.append((hits[start][1], hits[start][0], 1 - back, name, label, common / len(own)))
+                at = last + 1
+        return out
+
 
 def frequencies(docs: DataFrame, templates: dict[str, tuple[str, str]]) -> dict[bytes, int]:
     """Blocks of the whole corpus that hold each word of the templates."""
@@ -130,18 +171,21 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def block_matches(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """Each block that matches a template: its line (from 0), its first word and length in words, and the containment."""
+    """Each block that matches a template: its (first) line (from 0), its first word and length in words, and the containment."""
     shared = docs.sparkSession.sparkContext.broadcast(index_of(docs, templates, threshold))
 
     def matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                first = 0
-                for n, line in enumerate(text.split("\n")):
-                    words = words_of(line)
-                    rows += [(doc, n, first, len(words), *m) for m in shared.value.matches(words)]
+                first, taken = 0, set()
+                lines = [words_of(line) for line in text.split("\n")]
+                for n, words in enumerate(lines):
+                    found = shared.value.matches(words)
+                    taken.update((m[0], n) for m in found)
+                    rows += [(doc, n, first, len(words), *m) for m in found]
                     first += len(words)
+                rows += [(doc, *m) for m in shared.value.across(lines, taken)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in MATCHED.split(", ")]).astype({"doc_id": "Int64", "containment": "float64"})
 
     return keyed(docs).mapInPandas(matched, MATCHED)
@@ -157,12 +201,15 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, thr
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                words, found = [], []
-                for line in text.split("\n"):
-                    own = words_of(line)
+                words, found, taken = [], [], set()
+                lines = [words_of(line) for line in text.split("\n")]
+                for n, own in enumerate(lines):
                     words += own
                     if not vocabulary.isdisjoint(own):
-                        found += index.matches(own)
+                        matched = index.matches(own)
+                        taken.update((m[0], n) for m in matched)
+                        found += matched
+                found += [m[3:] for m in index.across(lines, taken)]
                 base = places(words)
                 starts = [p for p, _ in base]
                 labels = {label for _, label in base}
