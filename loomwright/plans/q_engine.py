@@ -257,6 +257,18 @@ def cache_stale_propagation(spark: SparkSession, sf: str) -> DataFrame:
     return cache.stale(spark, found, views.job_edges(spark, sf))
 
 
+@query(
+    f"""WITH {_CACHE.format('k % 3 <> 0 OR k % 13 <> 4')},
+o AS (SELECT job_id AS id, status AS reason FROM r WHERE status <> 'hit'), d AS (SELECT id FROM o UNION SELECT e.to_job FROM job_edges e JOIN d ON e.from_job = d.id)
+SELECT id, coalesce(reason, 'upstream') AS reason FROM d LEFT JOIN o USING (id)""",
+    ("job_edges",),
+    recursive=True,
+)
+def cache_stale_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All jobs that aren't hits are origins; ``cache_stale_propagation`` has those of one in fifty, as its SQL has."""
+    return cache.stale(spark, cache.lookup(**_cache_tables(spark, sf), mode="mtime_hash"), views.job_edges(spark, sf))
+
+
 @query("WITH e AS (SELECT p_partkey AS k, place FROM part, (VALUES (0), (1)) v(place)) SELECT 'k' || k AS cache_key, count(*) AS gone FROM e WHERE (k + place) % 11 <> 5 AND (k + place) % 7 = 2 AND k % 10 <> 3 GROUP BY k")
 def cache_orphans(spark: SparkSession, sf: str) -> DataFrame:
     t = _cache_tables(spark, sf)
