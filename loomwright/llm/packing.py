@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomwright.llm.tokens import default_path, encoder, vocabulary_text
+from loomwright.llm.tokens import default_path, described, encoder
 from loomwright.session import materialize, table
 
 CAPACITY = 2048
@@ -35,10 +35,10 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def cut(spark: SparkSession, docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of each row of ``docs`` (doc_id, text) with the checksum of their ids."""
-    shared = spark.sparkContext.broadcast(vocabulary_text(path))
+    shared = spark.sparkContext.broadcast(described(path))
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, width = encoder(shared.value).ids, 4 * capacity
+        ids, width = encoder(*shared.value).ids, 4 * capacity
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):

@@ -35,6 +35,40 @@ def test_chosen_texts(text):
     same(text)
 
 
+def test_every_code_point():
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4096):
+        part = points[at : at + 4096]
+        same("".join(f"a{c}b 1{c}2 !{c}" for c in part[:: 1 if at < 0x3000 else 13]))
+        same("".join(part[::5]))
+
+
+WORLD = [
+    "It’s a curly quote – and “another” one…", "price 5 € or ¥ 700", "Съешь же ещё этих мягких французских булок, да выпей чаю", "敏捷的棕色狐狸跳过了懒狗。日本語のテキスト", "한국어 문장입니다 그리고 또",
+    "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία ΣΑΣ Σ", "نص عربي مع أرقام ١٢٣", "emoji 👩‍👩‍👧 and 𝒜𝓁𝑔 𐍈", "e\u0301 A\u030a \u2003\u3000x İI", "<|endoftext|>текст<|startoftext|><|endoftext|>",
+]
+
+
+@pytest.mark.parametrize("text", WORLD)
+def test_texts_of_the_world(text):
+    same(text)
+    same(text * 50)
+
+
+def test_other_scripts_take_the_shortcut():
+    """The dealt method counts texts outside Latin-1 too: the library's encode isn't called for them."""
+    mine = ENCODERS["byte_bpe_50k.json"][0]
+    for text in WORLD[:4]:
+        pre, whole = mine.shares(text * 20)
+        assert pre and whole, text
+    for mine, _ in ENCODERS.values():
+        library, mine.library = mine.library, type("NoEncode", (), {"normalizer": mine.library.normalizer})()
+        try:
+            assert all(mine.count(text) for text in WORLD)
+        finally:
+            mine.library = library
+
+
 def test_shortcut_is_proved():
     found = t.whole_tokens(VOCABULARIES["byte_bpe_50k.json"])
     library = ENCODERS["byte_bpe_50k.json"][1]
