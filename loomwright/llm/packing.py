@@ -4,8 +4,9 @@ Documents become pieces of at most ``capacity`` tokens.  The plan is made from t
 ``capacity`` numbers, whatever the corpus holds): lengths in falling order, each put into the open sequences with the
 tightest room.  Sequences that are filled alike are one class with a contiguous range of numbers, so a plan line says
 "pieces number r to r+n of length L go to sequences s to s+n at offset o".  Pieces take their slots by joining on their
-rank within their length.  Ranks are counted within (length, salt) and shifted, so that one very common length isn't
-one task.
+rank within their length.  Each task numbers its own pieces of each length while it cuts them; the numbers are shifted
+by what tasks before it hold, so no length, however common, is sorted or counted in one task.  The join is on (length,
+block of ``RANKS`` ranks), so no task meets more pieces than a block has, however many share a length.
 
 Defined cases: a null or empty text is one piece of length 1 (the closing id 0); equal rows get different slots; a
 null doc_id is kept as null; empty tables give no rows; only doc_id and text are read.
@@ -18,6 +19,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,27 +28,29 @@ from loomwright.llm.tokens import default_path, described, encoder
 from loomwright.session import materialize, table
 
 CAPACITY = 2048
-#: Parts that the ranks of one length are counted in.
-SALTS = 64
-#: Plan lines (of about 50 bytes) up to which the plan is broadcast; a longer one is joined by a shuffle.
-BROADCAST_LINES = 200_000
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Ranks that are joined with their slots by one key, and blocks that one row of the plan goes over at most.
+RANKS, LONGEST = 4096, 4096
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, own_rank long"
 
 
 def cut(spark: SparkSession, docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces of each row of ``docs`` (doc_id, text) with the checksum of their ids."""
+    """The pieces of each row of ``docs`` (doc_id, text) with the checksum of their ids, the task that cut them and their
+    rank among its pieces of their length."""
     shared = spark.sparkContext.broadcast(described(path))
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, width = encoder(*shared.value).ids, 4 * capacity
+        part, held = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 packed = ids(text) + b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(packed), width)):
-                    part = packed[at : at + width]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    own = packed[at : at + width]
+                    n = len(own) // 4
+                    rows.append((doc, k, at // 4, n, zlib.crc32(own), part, held[n]))
+                    held[n] += 1
+            out = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
             yield out.astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(pieces, PIECES)
@@ -96,25 +100,27 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return lines
 
 
+def slots(spark: SparkSession, lines: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """The plan as rows (p_length, p_block, first_rank, n, first_sequence, offset), once for each block of ranks that a
+    line goes over; lines of very many pieces are cut first, so that no row is exploded into more than ``LONGEST``."""
+    most = RANKS * LONGEST
+    short = [(length, rank + at, min(most, n - at), first + at, offset) for length, rank, n, first, offset in lines for at in range(0, n, most)]
+    rows = spark.createDataFrame(short, "p_length long, first_rank long, n long, first_sequence long, offset long")
+    block = F.sequence(F.floor(F.col("first_rank") / RANKS), F.floor((F.col("first_rank") + F.col("n") - 1) / RANKS))
+    return rows.withColumn("p_block", F.explode(block))
+
+
 def pack(spark: SparkSession, docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of ``docs`` with the sequence and the offset that each takes."""
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")
-    pieces = materialize(spark, cut(spark, docs, path, capacity).withColumn("salt", salt))
-    held = pieces.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()  # capacity x SALTS rows at most
-    counts: dict[int, int] = {}
-    shifts = []
-    for length, part, n in sorted(held):
-        shifts.append((length, part, counts.get(length, 0)))
-        counts[length] = counts.get(length, 0) + n
-    lines = plan(counts, capacity)
-    shift = spark.createDataFrame(shifts, "length long, salt int, shift long")
-    slots = spark.createDataFrame(lines, "p_length long, first_rank long, n long, first_sequence long, offset long")
-    small = F.broadcast if len(lines) <= BROADCAST_LINES else (lambda x: x)
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = pieces.withColumn("own_rank", F.row_number().over(own)).join(shift, ["length", "salt"])
-    rank = F.col("shift") + F.col("own_rank") - 1
-    inside = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("n"))
-    placed = ranked.withColumn("rank", rank).join(small(slots), inside)
+    pieces = materialize(spark, cut(spark, docs, path, capacity))
+    held = materialize(spark, pieces.groupBy("length", "part").agg(F.count("*").alias("n")))
+    counts = {r.length: r.n for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    shift = held.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    rank = F.col("shift") + F.col("own_rank")
+    ranked = pieces.join(shift, ["length", "part"]).withColumn("rank", rank).withColumn("block", F.floor(rank / RANKS))
+    inside = (F.col("length") == F.col("p_length")) & (F.col("block") == F.col("p_block")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("n"))
+    placed = ranked.join(slots(spark, plan(counts, capacity)), inside)
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset")
 
 

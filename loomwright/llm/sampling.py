@@ -10,18 +10,19 @@ def smallest_hashes(df: DataFrame, n: int, keys: DataFrame | None = None) -> Dat
     """One row for each of the ``n`` doc_ids (all, if there are fewer) with the smallest hashes.
 
     The cut is found from ``keys`` (doc_id; by default those of ``df``), so no text is read for it.  Hashes are even,
-    so all but about 2n of them are filtered where they are read, and little is shuffled at any size.  Of rows that
-    share a doc_id one is taken."""
+    so all but about 2n doc_ids are filtered where they are read, and little is shuffled at any size.  Of rows that
+    share a doc_id the smallest is taken, so a sample is repeatable."""
     hashed = F.xxhash64(F.col("doc_id").cast("string"))
     keys = (df if keys is None else keys).select(hashed.alias("h"))
-    rows = keys.count()
-    if rows > 4 * n:
-        keys = keys.where(F.col("h") <= F.lit(int(-(2**63) + 2**64 * (2 * n / rows))))
-    cut = keys.distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
-    if cut is None:  # no keys, or a few doc_ids that all are above the filter
-        cut = 2**63 - 1 if rows <= 4 * n else None
-    chosen = df if cut is None else df.where(hashed <= F.lit(cut))
-    return chosen.dropDuplicates(["doc_id"]).limit(n)
+    ids = keys.agg(F.approx_count_distinct("h")).first()[0]
+    near = keys.where(F.col("h") <= F.lit(int(-(2**63) + 2**64 * (2 * n / ids)))) if ids > 4 * n else keys
+    found = near.distinct().orderBy("h").limit(n).agg(F.max("h"), F.count("h")).first()
+    if ids > 4 * n and found[1] < n:  # fewer than were counted on
+        found = keys.distinct().orderBy("h").limit(n).agg(F.max("h"), F.count("h")).first()
+    chosen = df.where(hashed <= F.lit(found[0])) if found[1] else df.limit(0)
+    others = [c for c in df.columns if c != "doc_id"]
+    least = chosen.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row")) if others else chosen.distinct()
+    return (least.select("doc_id", "row.*") if others else least).limit(n).select(*df.columns)
 
 
 def remainder(n: int):

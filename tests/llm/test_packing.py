@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from loomwright.llm import packing
 from loomwright.llm.packing import CAPACITY, op9_best_fit_packing, pack, plan
 from loomwright.llm.tokens import default_path
 
@@ -70,6 +71,15 @@ def test_hard_rows(spark):
     assert pack(spark, df.limit(0), default_path("word_bpe_49k.json")).count() == 0
 
 
+def test_small_blocks(spark, tiny, monkeypatch):
+    """Many blocks of ranks, lines that are cut, and one hot length."""
+    monkeypatch.setattr(packing, "RANKS", 4)
+    monkeypatch.setattr(packing, "LONGEST", 3)
+    docs = [(i % 7, "word " * (i % 3)) for i in range(300)] + [(None, None)] * 100
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    verify(pack(spark, df, default_path("word_bpe_49k.json"), CAPACITY).collect(), docs, lambda n: best_fit(n, CAPACITY))
+
+
 def test_query(spark, tiny):
     docs = [tuple(r) for r in spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").collect()]
     verify(op9_best_fit_packing(spark, tiny).collect(), docs, lambda n: best_fit(n, CAPACITY))
