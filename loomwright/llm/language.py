@@ -2,11 +2,13 @@
 centroids for each language, by cosine, with rejection by distance.
 
 Letters are lower-cased and everything else becomes one separator; n-grams of 2 and 3 are hashed into ``WIDTH``
-buckets.  Spherical k-means gives each language up to ``CENTROIDS`` centroids.  A text is rejected if its cosine to
-the nearest centroid is under the ``LOW`` quantile of those that documents of the sample with about as many letters (by
-powers of two, and as many lengths on either side as give ``ENOUGH`` documents) had to their own language: short texts
-lie far from every centroid and aren't junk for that, and any text's cosine rises with its length.  Texts under
-``FEWEST`` letters are never rejected, nor is any where fewer than ``ENOUGH`` documents were learned from.
+buckets.  Spherical k-means gives each language up to ``CENTROIDS`` centroids.
+
+A text is rejected if its cosine to the nearest centroid is under the ``LOW`` quantile of the cosines that texts of its
+length (by powers of two of the letters) have to their own language, as any text's cosine rises with its length.  Those
+are measured on windows of all lengths, cut from documents that the measuring centroids weren't fitted on (the sample
+is halved, each half is measured against the other's), so short texts have as many as long ones.  A length that no
+window has takes the floor of the next shorter one; without any window nothing is too far.
 
 Fitting uses a bounded sample (``SAMPLE`` documents with a language); whole texts of all documents are classified.
 
@@ -26,16 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm.sampling import remainder, smallest_hashes
-from loomwright.session import table
+from loomwright.session import materialize, table
 
 WIDTH, CENTROIDS, SAMPLE, STEPS = 4096, 4, 4000, 12
-#: Quantile of own-language cosines that is too low, and how many times as far as the quantile of 5 % it lies from the
-#: median if they are normal: under 1 / LOW documents the lowest of them may lie above it.
-LOW, TAIL = 0.002, 1.75
-#: Letters under which a text is too short to be rejected.
-FEWEST = 16
-#: Documents to learn from under which no distance counts as too far.
-ENOUGH = 100
+#: Quantile of own-language cosines that is too low.
+LOW = 0.005
 FOLDS, HELD_OUT = 3, 1
 #: What a cosine may differ by where it is computed again.
 ROUNDING = 1e-4
@@ -115,35 +112,37 @@ def cluster(x: np.ndarray, k: int) -> np.ndarray:
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
 
 
-def limits(near: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """The floor of each power of two of the letters, from own-language cosines; ``ROUNDING`` under them."""
-    floors = np.zeros(41)
-    for b in range(FEWEST.bit_length(), 41) if len(near) else ():
-        away = np.abs(bits - b)
-        own = near[away <= np.sort(away)[min(len(away), ENOUGH) - 1]]
-        floors[b] = np.quantile(own, LOW, method="lower") - ROUNDING
-        if len(own) < 1 / LOW:
-            some, half = np.quantile(own, [0.05, 0.5])
-            floors[b] = min(floors[b], half - TAIL * (half - some))
+def windows(text: str) -> Iterator[str]:
+    """The whole text, and parts from its middle of widths 2, 3, 6, 12, 24 and so on."""
+    yield text
+    width = 2
+    while width < len(text):
+        at = (len(text) - width) // 2
+        yield text[at : at + width]
+        width = 3 if width == 2 else width * 2
+
+
+def own_cosines(model: Model, lang: str, text: str) -> Iterator[tuple[int, float]]:
+    """(power of two of the letters, cosine to the nearest centroid of ``lang``) of each window with a letter."""
+    own = model.centroids[[k for k, name in enumerate(model.names) if name == lang]]
+    for part in windows(text) if len(own) else ():
+        counts, n = histogram(part)
+        if n:
+            yield min(n.bit_length(), 40), float((own @ weigh(counts, model.idf)).max())
+
+
+def limits(found: list[tuple[int, float]]) -> np.ndarray:
+    """The floor of each power of two of the letters, ``ROUNDING`` under the quantile."""
+    floors, by = np.zeros(41), {}
+    for bits, cosine in found:
+        by.setdefault(bits, []).append(cosine)
+    for b in range(1, 41):
+        floors[b] = np.quantile(by[b], LOW, method="lower") - ROUNDING if b in by else floors[b - 1]
     return floors
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    usable = F.col("lang").isNotNull() & (remainder(FOLDS) != HELD_OUT)
-    keys, known = docs.select("doc_id", "lang").where(usable), docs.select("doc_id", "lang", "text").where(usable & F.col("text").isNotNull())
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                counts, n = histogram(text)
-                at = np.flatnonzero(counts)
-                rows.append((lang, n, at.astype("<u2").tobytes(), counts[at].astype("<f4").tobytes()))
-            yield pd.DataFrame(rows, columns=["lang", "n", "at", "counts"])
-
-    chosen = smallest_hashes(known, sample, keys).select("lang", "text").mapInPandas(counted, "lang string, n long, at binary, counts binary")
-    rows = sorted((tuple(r) for r in chosen.toLocalIterator()), key=lambda r: (r[0], r[1], bytes(r[2]), bytes(r[3])))
-    rows = [r for r in rows if r[1]]
+def centred(rows: list[tuple[str, int, bytes, bytes]]) -> Model:
+    """Idf and centroids of (language, letters, buckets, counts), without floors."""
     if not rows:
         return Model(np.zeros(WIDTH), np.zeros((0, WIDTH)), [], np.zeros(41))
     x = np.zeros((len(rows), WIDTH), "f4")
@@ -157,10 +156,42 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         own = cluster(x[langs == lang], CENTROIDS)
         centroids.append(own)
         names += [lang] * len(own)
-    c = np.concatenate(centroids).astype("f4")
-    near = np.where(np.array(names)[None, :] == langs[:, None], x @ c.T, -1).max(1)
-    bits = np.array([min(r[1].bit_length(), 40) for r in rows])
-    return Model(idf, c, names, limits(near[bits >= FEWEST.bit_length()], bits[bits >= FEWEST.bit_length()]) if len(rows) >= ENOUGH else np.zeros(41))
+    return Model(idf, np.concatenate(centroids).astype("f4"), names, np.zeros(41))
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
+    spark = docs.sparkSession
+    usable = F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(FOLDS) != HELD_OUT)
+    known = docs.select("doc_id", "lang", "text").where(usable)
+    keys = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & (remainder(FOLDS) != HELD_OUT))
+    half = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("half")), F.lit(2)).cast("int").alias("half")
+    # spread over the cores, whatever the partitions of the corpus were
+    chosen = materialize(spark, smallest_hashes(known, sample, keys).select("lang", "text", half).repartition(max(2, spark.sparkContext.defaultParallelism), F.xxhash64("text")))
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for lang, text, half in zip(batch["lang"], batch["text"], batch["half"], strict=True):
+                counts, n = histogram(text)
+                at = np.flatnonzero(counts)
+                rows.append((lang, n, at.astype("<u2").tobytes(), counts[at].astype("<f4").tobytes(), half))
+            yield pd.DataFrame(rows, columns=["lang", "n", "at", "counts", "half"])
+
+    found = chosen.mapInPandas(counted, "lang string, n long, at binary, counts binary, half int").where("n > 0").toLocalIterator()
+    rows = sorted((r.lang, r.n, bytes(r["at"]), bytes(r["counts"]), r.half) for r in found)
+    model = centred([r[:4] for r in rows])
+    if not rows:
+        return model
+    halves = spark.sparkContext.broadcast([centred([r[:4] for r in rows if r[4] != half]) for half in (0, 1)])
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [x for lang, text, half in zip(batch["lang"], batch["text"], batch["half"], strict=True) for x in own_cosines(halves.value[half], lang, text)]
+            yield pd.DataFrame(out, columns=["bits", "cosine"]).astype({"bits": "int32", "cosine": "float64"})
+
+    # as many numbers as the sample has documents, for each power of two
+    model.floors = limits([(r.bits, r.cosine) for r in chosen.mapInPandas(measured, "bits int, cosine double").toLocalIterator()])
+    return model
 
 
 FOUND = "lang_pred string, score double, rejected boolean"

@@ -1,5 +1,8 @@
+import math
 import zlib
 
+import numpy as np
+
 from loomwright.llm import language as g
 
 SCHEMA = "doc_id long, text string, lang string, source string, score int"
@@ -33,6 +36,52 @@ def test_held_out_accuracy_and_rejection(spark):
     assert out[1003].rejected and out[1003].lang_pred in SAYINGS and out[None].held_out and out[1004].lang_pred == "aa"
 
 
+def plain(model, text):
+    """Nearest centroid, letter by letter and n-gram by n-gram, in plain Python."""
+    code = [0]
+    for c in text or "":
+        low = c.lower() if len(c.lower()) == 1 else c
+        if c.isalpha():
+            code.append(ord(low))
+        elif code[-1]:
+            code.append(0)
+    letters, counts = sum(x > 0 for x in code), [0] * g.WIDTH
+    if not letters:
+        return "und", 0.0, True
+    code.append(0)  # the text's end, after a separator if it has one
+    for k in range(len(code) - 1):
+        two = (code[k] * 0x9E3779B1 % 2**32) ^ (code[k + 1] * 0x85EBCA77 % 2**32)
+        grams = [two]
+        if k + 2 < len(code):
+            grams.append((two * 0xC2B2AE3D % 2**32) ^ (code[k + 2] * 0x27D4EB2F % 2**32))
+        for h in grams:
+            counts[((h ^ h >> 15) * 0x2C1B3C6D % 2**32) >> 20] += 1
+    x = [math.sqrt(c) * float(w) for c, w in zip(counts, model.idf, strict=True)]
+    norm = math.sqrt(sum(v * v for v in x))
+    scores = [sum(v * float(w) for v, w in zip(x, row, strict=True)) / norm for row in model.centroids.tolist()]
+    best = max(scores)
+    return {name for name, s in zip(model.names, scores, strict=True) if s >= best - 1e-5}, best, best < model.floors[min(letters.bit_length(), 40)]
+
+
+def test_query_against_brute_force(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    model = g.fit(docs)
+    rows = {r.doc_id: r for r in g.op2_language_id(spark, tiny).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert rows.keys() == texts.keys()
+    for i, text in texts.items():
+        names, score, _ = plain(model, text)
+        assert rows[i].lang_pred in names and abs(rows[i].score - score) < 1e-4
+        assert rows[i].rejected == (not text or rows[i].score < model.floors[min(g.histogram(text)[1].bit_length(), 40)])
+
+
+def test_floors_come_from_texts_of_each_length():
+    found = [(3, 0.2 + k / 1000) for k in range(1000)] + [(5, 0.5)]
+    floors = g.limits(found)
+    assert floors[2] == 0 and floors[3] == np.quantile([c for b, c in found if b == 3], g.LOW, method="lower") - g.ROUNDING and floors[4] == floors[3] and floors[40] == floors[5] > floors[4]
+    assert max(len(w) for w in g.windows("ab cd " * 50)) == 300 and [len(w) for w in g.windows("ab cd ")] == [6, 2, 3]
+
+
 def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "kala", None, "s", 0)], SCHEMA)
     assert [r.lang_pred for r in g.identify(df, g.fit(df)).collect()] == ["und"]
