@@ -4,11 +4,12 @@ Each sentence has a logistic score from its distinct words (whole words and thei
 document's score is the noisy-or of its sentences, 1 - prod(1 - p).  Training maximises the likelihood of the document
 labels through the noisy-or, so the model finds by itself which sentences are to blame, and can point at them.
 
-Fitting uses a documented, bounded sample (``SAMPLE`` labelled documents, ``FEATURES`` features); scoring covers whole
-texts of all documents.
+Fitting uses a documented, bounded sample (``SAMPLE`` labelled documents of ``SAMPLE_BYTES`` together, ``FEATURES``
+features); scoring covers whole texts of all documents.
 
 Defined cases: null and empty texts, and texts without a word, score 0; without any usable label all scores are 0;
-repeated labels of one document count as toxic if one of them is; rows with a null doc_id are never learned from and
+repeated labels of one document count as toxic if one of them is; of several texts of one doc_id the smallest is learned
+from; a document that would take the sample over its bytes isn't learned from; rows with a null doc_id are never learned from and
 are marked as held out; a sentence ends at . ! ? or a newline, and has no length limit.
 """
 
@@ -28,6 +29,8 @@ from loomwright.session import materialize, table
 
 #: Labelled documents to fit on, features kept, least toxic documents that a feature is in.
 SAMPLE, FEATURES, LEAST = 8000, 2000, 3
+#: UTF-8 bytes of the texts that are fitted on; what comes to the driver is at most as large.
+SAMPLE_BYTES = 64_000_000
 #: Word prefixes that are features beside the whole word.
 PREFIXES = (3, 4, 5, 6, 7)
 #: Documents that are held out: this remainder of crc32(doc_id) modulo FOLDS.
@@ -81,32 +84,56 @@ def noisy_or(scores: list[float]) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(scores, 1 - 1e-12)).sum())) if scores else 0.0
 
 
-def train(bags: list[list[list[int]]], labels: list[int], n: int) -> tuple[np.ndarray, float]:
-    """Weights and bias from bags of sentences of feature numbers, by Adam on the noisy-or likelihood."""
+def packed(bag: list[list[int]]) -> tuple[bytes, bytes]:
+    """A bag as (features of each sentence that has any, in one run; their numbers), little-endian."""
+    full = [x for x in bag if x]
+    return np.array([i for x in full for i in x], "<u2").tobytes(), np.array([len(bag) - len(full), *map(len, full)], "<u4").tobytes()
+
+
+def train(bags: list[tuple[bytes, bytes]], labels: list[int], n: int) -> tuple[np.ndarray, float]:
+    """Weights and bias from bags as :func:`packed` has them, by Adam on the noisy-or likelihood."""
     y = np.array(labels, "f8")
-    words = np.array([i for bag in bags for s in bag for i in s], "i8")
-    row = np.repeat(np.arange(sum(map(len, bags))), [len(s) for bag in bags for s in bag])
-    doc = np.repeat(np.arange(len(bags)), [len(bag) for bag in bags])
+    sizes = [np.frombuffer(b, "<u4") for _, b in bags]
+    bare = np.array([x[0] for x in sizes], "f8")  # sentences without a feature: all alike
+    words = np.frombuffer(b"".join(a for a, _ in bags), "<u2")
+    row = np.repeat(np.arange(sum(len(x) - 1 for x in sizes), dtype="i4"), np.concatenate([x[1:] for x in sizes]))
+    doc = np.repeat(np.arange(len(bags), dtype="i4"), [len(x) - 1 for x in sizes])
     w, b = np.zeros(n), -4.0
     moments = [np.zeros(n + 1), np.zeros(n + 1)]
     for k in range(1, ROUNDS + 1):
         z = np.bincount(row, w[words], len(doc)) + b
-        p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-        q = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y)))
-        g = p * np.where(y == 1, -POSITIVE * q / np.maximum(1 - q, 1e-9), 1.0)[doc]
-        grad = np.append(np.bincount(words, g[row], n) / len(y) + DECAY * w, g.sum() / len(y))
+        p, lone = (1 / (1 + np.exp(-np.clip(x, -50, 50))) for x in (z, b))
+        q = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y)) + bare * np.log1p(-min(lone, 1 - 1e-12)))
+        pull = np.where(y == 1, -POSITIVE * q / np.maximum(1 - q, 1e-9), 1.0)
+        g = p * pull[doc]
+        grad = np.append(np.bincount(words, g[row], n) / len(y) + DECAY * w, (g.sum() + lone * (bare * pull).sum()) / len(y))
         moments = [0.9 * moments[0] + 0.1 * grad, 0.99 * moments[1] + 0.01 * grad**2]
         step = RATE * (moments[0] / (1 - 0.9**k)) / (np.sqrt(moments[1] / (1 - 0.99**k)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
     return w, float(b)
 
 
+def within(sizes: list[tuple[int, int]], most: int) -> list[int]:
+    """The ids of (id, bytes) that are taken in this order while they fit."""
+    out, held = [], 0
+    for one, n in sizes:
+        if held + n <= most:
+            out.append(one)
+            held += n
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], float | None]:
     """Weights by feature, and the bias (None: nothing to learn from)."""
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & (remainder(FOLDS) != HELD_OUT)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = smallest_hashes(known, sample)  # at most ``sample`` rows of two numbers: small enough to broadcast
-    rows = materialize(spark, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").repartition(16, F.xxhash64("doc_id", "text")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    rows = materialize(spark, texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).repartition(max(2, spark.sparkContext.defaultParallelism), F.xxhash64("text")))
+    sizes = rows.select("doc_id", F.octet_length("text").alias("n"), F.xxhash64(F.col("doc_id").cast("string")).alias("h")).collect()
+    taken = within([(r.doc_id, r.n) for r in sorted(sizes, key=lambda r: (r.h, r.doc_id))], SAMPLE_BYTES)
+    if len(taken) < len(sizes):
+        rows = rows.join(F.broadcast(spark.createDataFrame([(i,) for i in taken], "doc_id long")), "doc_id")
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -129,12 +156,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[
             out = []
             for text in batch["text"]:
                 bag = [[number[f] for w in sorted(s) for f in features(w) if f in number] for s in sentences(text)]
-                out.append(bag or [[]])  # sentences without a feature count too, as they do in a score
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "bag": out})
+                out.append(packed(bag or [[]]))  # sentences without a feature count too, as they do in a score
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "words": [x for x, _ in out], "sizes": [x for _, x in out]})
 
-    told = rows.mapInPandas(bags, "doc_id long, toxic int, bag array<array<int>>").collect()
-    told.sort(key=lambda r: (r.doc_id, r.toxic, r.bag))
-    w, bias = train([r.bag for r in told], [r.toxic for r in told], len(number))
+    # a word of three letters or more gives two bytes for each feature it has, so this is bounded as the texts are
+    told = sorted((r.doc_id, r.toxic, bytes(r.words), bytes(r.sizes)) for r in rows.mapInPandas(bags, "doc_id long, toxic int, words binary, sizes binary").toLocalIterator())
+    w, bias = train([r[2:] for r in told], [r[1] for r in told], len(number))
     return {f: round(float(w[i]), 6) for f, i in number.items() if abs(w[i]) > 1e-6}, round(bias, 6)
 
 
