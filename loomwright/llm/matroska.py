@@ -5,7 +5,8 @@
 through the same parser and reports digests of what came out.
 
 Defined cases: null media have no packets; a damaged or truncated file gives the packets before the damage and its
-``damage`` text; a null text is stored as an empty one (192 spaces); equal texts give equal files; there is no length
+``damage`` text; elements within elements deeper than ``DEPTH``, integers of over 8 bytes and times beyond 64 bits are
+damage; a null text is stored as an empty one (192 spaces); equal texts give equal files; there is no length
 limit beyond that of a value; only the key and the payload are read.
 """
 
@@ -36,11 +37,14 @@ SEEK_HEAD, VOID, CRC32 = 0x114D9B74, 0xEC, 0xBF
 #: Elements that hold others; at the top level they also end a cluster or segment of unknown size.
 MASTERS = {EBML, SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS}
 TOP = {CLUSTER, CUES, INFO, TRACKS, SEEK_HEAD}
+INTEGERS = {TIMESTAMP, TIMESTAMP_SCALE, CUE_TIME, CUE_TRACK, CUE_CLUSTER_POSITION, TRACK_NUMBER, TRACK_TYPE, CHANNELS, BIT_DEPTH, DEFAULT_DURATION}
 
 #: Bytes (samples at 8 kHz) of a packet, packets of a laced block, blocks of a cluster.
 FRAME, LACED, BLOCKS = 192, 64, 8
 RATE = 8000
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
+#: Elements that a block lies within at most (a segment, a cluster and a group, with room for masters in masters).
+DEPTH = 16
 
 
 def vint(value: int, width: int = 0) -> bytes:
@@ -78,8 +82,9 @@ def block(track: int, relative: int, frames: list[bytes], how: int, number: int
     return element(number, vint(track) + struct.pack(">hB", relative, flags) + lace(frames, how))
 
 
-def write(payload: bytes, how: int = FIXED) -> bytes:
-    """Samples (a positive multiple of FRAME bytes) as a Matroska file with one PCM track, laced blocks and cues."""
+def write(payload: bytes, how: int | None = None) -> bytes:
+    """Samples (a positive multiple of FRAME bytes) as a Matroska file with one PCM track, laced blocks and cues; by
+    default the three kinds of lacing take turns."""
     ms = FRAME * 1000 // RATE
     frames = [payload[at : at + FRAME] for at in range(0, len(payload), FRAME)]
     head = element(EBML, uint(EBML_VERSION, 1) + uint(EBML_READ_VERSION, 1) + uint(EBML_MAX_ID, 4) + uint(EBML_MAX_SIZE, 8) + element(DOC_TYPE, b"matroska") + uint(DOC_TYPE_VERSION, 4) + uint(DOC_TYPE_READ_VERSION, 2))
@@ -91,7 +96,8 @@ def write(payload: bytes, how: int = FIXED) -> bytes:
         start, inside = first * ms, []
         for k in range(first, min(first + LACED * BLOCKS, len(frames)), LACED):
             part = frames[k : min(k + LACED, first + LACED * BLOCKS)]
-            inside.append(block(1, k * ms - start, part, how if len(part) > 1 else NO_LACING))
+            turn = (XIPH, FIXED, EBML_LACING)[k // LACED % 3] if how is None else how
+            inside.append(block(1, k * ms - start, part, turn if len(part) > 1 else NO_LACING))
         cluster = element(CLUSTER, uint(TIMESTAMP, start) + b"".join(inside))
         cues.append(element(CUE_POINT, uint(CUE_TIME, start) + element(CUE_TRACK_POSITIONS, uint(CUE_TRACK, 1) + uint(CUE_CLUSTER_POSITION, at))))
         body.append(cluster)
@@ -183,7 +189,9 @@ def parse(data: bytes | None) -> Media:
     return found
 
 
-def walk(data: bytes, at: int, end: int, found: Media, state: dict, within: int = 0) -> int:
+def walk(data: bytes, at: int, end: int, found: Media, state: dict, within: int = 0, depth: int = 0) -> int:
+    if depth > DEPTH:
+        raise Damage(f"elements too deep at {at}")
     while at < end:
         began = at
         number, at = read_id(data, at, end)
@@ -193,7 +201,7 @@ def walk(data: bytes, at: int, end: int, found: Media, state: dict, within: int
         stop = end if size is None else at + size
         if stop > end:
             if number in (SEGMENT, CLUSTER):
-                walk(data, at, end, found, state | {"segment": at} if number == SEGMENT else opened(found, state, began), number)
+                walk(data, at, end, found, state | {"segment": at} if number == SEGMENT else opened(found, state, began), number, depth + 1)
             raise Damage(f"element at {began} is cut off")
         if number == SEGMENT:
             state["segment"] = at
@@ -206,7 +214,7 @@ def walk(data: bytes, at: int, end: int, found: Media, state: dict, within: int
                 state["cue"] = {}
             if number == BLOCK_GROUP:
                 state["key"], state["at"] = True, len(found.packets)
-            at = walk(data, at, stop, found, state, number if size is None and number == CLUSTER else 0)
+            at = walk(data, at, stop, found, state, number if size is None and number == CLUSTER else 0, depth + 1)
             if number == TRACK_ENTRY:
                 found.tracks[state["track"].get("number", 0)] = state["track"]
             if number == CUE_POINT:
@@ -217,6 +225,8 @@ def walk(data: bytes, at: int, end: int, found: Media, state: dict, within: int
         if number in (SIMPLE_BLOCK, BLOCK):
             read_block(data, at, stop, found, state, number == SIMPLE_BLOCK)
         else:
+            if number in INTEGERS and stop - at > 8:
+                raise Damage(f"integer of {stop - at} bytes at {began}")
             leaf(number, data[at:stop] if stop - at <= 4096 else b"", found, state)
         at = stop
     return at
@@ -259,6 +269,8 @@ def read_block(data: bytes, at: int, end: int, found: Media, state: dict, simple
     sizes, at = sizes_of(data, at + 3, end, flags >> 1 & 3)
     time = (state["time"] + relative) * found.scale
     step, cluster = found.tracks.get(track, {}).get("frame_ns", 0), len(found.clusters) - 1
+    if max(abs(time), abs(time + len(sizes) * step)) >> 63:
+        raise Damage(f"time beyond 64 bits at {at}")
     for k, size in enumerate(sizes):
         found.packets.append((track, time + k * step, at, size, bool(flags & 0x80) if simple else True, cluster, k))
         at += size
@@ -297,7 +309,13 @@ def padded(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + b" " * ((-len(raw)) % FRAME if raw else FRAME)
 
 
-DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_packets long, n_cued long, last_timestamp_ns long, packets_sha256 string"
+
+
+def table_digest(media: Media) -> str:
+    """SHA-256 of the packet table's numbers: track, timestamp, start, length, keyframe, cluster and place in its block of
+    each packet, little-endian 64-bit."""
+    return hashlib.sha256(np.array(media.packets, "<i8").tobytes()).hexdigest()
 
 
 def digest(text: str | None) -> tuple:
@@ -306,9 +324,9 @@ def digest(text: str | None) -> tuple:
     media = parse(stored)
     back = payload_of(stored, media)
     samples = np.frombuffer(back, "u1")
-    track = media.tracks.get(1, {})
+    track, cued = media.tracks.get(1, {}), {position for _, _, position in media.cues}
     feature = f"codec={track.get('codec')};rate={track.get('rate', 0):.0f};bits={track.get('bits')};clusters={len(media.clusters)};blocks={media.blocks};packets={len(media.packets)};cues={len(media.cues)};ms={media.duration:.0f};mean={int(samples.sum(dtype='u8')) * 1000 // max(1, len(samples))};peak={int(samples.max(initial=0))}"
-    return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
+    return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, len(media.packets), sum(p[5] >= 0 and media.clusters[p[5]] in cued for p in media.packets), media.packets[-1][1], table_digest(media)
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
