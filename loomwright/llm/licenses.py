@@ -35,7 +35,8 @@ from loomwright.session import table
 THRESHOLD = 0.8
 #: Phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Notices as licenses ask for them or as they are commonly given, one line each.
+#: Notices as licenses ask for them or as they are commonly given, and paragraphs of the licenses' own
+#: texts (MIT, Apache 2.0, GPL 3, LGPL 3, BSD, MPL 2.0, ISC, zlib, Boost, Unlicense, EPL 2.0, Creative Commons).
 TEMPLATES = {
     "mit-notice": ("mit", "Released under the MIT License"),
     "mit-grant": ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
@@ -48,6 +49,27 @@ TEMPLATES = {
     "bsd-grant": ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
     "mpl-notice": ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     "reserved": ("all-rights-reserved", "All rights reserved"),
+    "mit-conditions": ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    "mit-dealing": ("mit", "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
+    "mit-warranty": ("mit", "in no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software"),
+    "apache-warranty": ("apache-2", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
+    "apache-limitations": ("apache-2", "See the License for the specific language governing permissions and limitations under the License"),
+    "apache-grant": ("apache-2", "each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form"),
+    "gpl-warranty": ("gpl-3", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"),
+    "gpl-copy": ("gpl-3", "You should have received a copy of the GNU General Public License along with this program"),
+    "lgpl-combined": ("lgpl-3", "You may convey a Combined Work under terms of your choice that, taken together, effectively do not restrict modification of the portions of the Library contained in the Combined Work and reverse engineering for debugging such modifications"),
+    "bsd-source": ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    "bsd-endorse": ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    "mpl-secondary": ("mpl-2", "This Source Code Form is Incompatible With Secondary Licenses, as defined by the Mozilla Public License"),
+    "isc-grant": ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    "zlib-origin": ("zlib", "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required"),
+    "zlib-altered": ("zlib", "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software"),
+    "boost-notice": ("boost-1", "Distributed under the Boost Software License, Version 1.0"),
+    "unlicense-domain": ("unlicense", "This is free and unencumbered software released into the public domain"),
+    "unlicense-grant": ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
+    "epl-notice": ("epl-2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    "cc0-dedication": ("cc0-1", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    "cc-by-sa-notice": ("cc-by-sa", "This work is licensed under a Creative Commons Attribution ShareAlike license"),
 }
 #: Bytes that aren't in words become blanks, A-Z become a-z.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -151,9 +173,10 @@ def places(words: list[bytes]) -> list[tuple[int, str]]:
     out = []
     for phrase, label in PHRASES.items():
         sought = b" " + phrase.encode() + b" "
-        at = joined.find(sought)
+        before, counted, at = 0, 0, joined.find(sought)
         while at >= 0:
-            out.append((joined.count(b" ", 0, at), label))
+            before, counted = before + joined.count(b" ", counted, at), at  # each byte is counted once
+            out.append((before, label))
             at = joined.find(sought, at + 1)
     return out
 
