@@ -4,23 +4,30 @@ Vectors become integers, floor(256 * x).  With M the longest norm, o' = (o, sqrt
 inner product into a distance, |q' - o'|^2 = |q|^2 + M*M - 2 q.o, so a metric tree gives exact answers: a bound on the
 distance is a bound on the score.
 
-Equal vectors are one entry with their ``k + 1`` smallest ids; no other id of theirs can be among a query's best.
-Entries go to the page of their nearest pivot (pivots come from a bounded sample, every row is indexed), and pages of
-more than ``SHARD`` entries are dealt out, so each tree is of bounded size.  A tree is a set of paged nodes with
-covering radii and parent distances.  Search takes nodes by their best possible score and avoids computing distances
-by |d(q, parent) - d(o, parent)|.  Each query first searches its home page; the k-th score found there is where its
-search of the other pages starts, and pages that can't reach it aren't visited.
+Equal vectors are one entry with their ``k + 1`` smallest ids (each as often as it is there, ``k`` times at most); no
+other id of theirs can be among a query's best.  All entries begin as one page for each length; a page of more than
+``SHARD`` entries is split among pivots drawn from a bounded sample of it, entry by entry to the nearest, until no page is
+larger, so pages grow in number with the data and never hold rows that chance put together.  A page is an M-tree: paged
+nodes with covering radii and parent distances.  The pages above it are nodes of the same kind (up to ``FAN`` children
+with centre and covering radius), kept as rows of a table, one table for each level, so no list of pages has to fit
+anywhere.
+
+Search takes nodes by their best possible score and avoids computing distances by |d(q, parent) - d(o, parent)|.  Each
+query first searches its home page; the k-th score found there is where its descent through the upper nodes starts, and
+no page or node that can't reach it is visited, at any size.  Queries of one page or node are dealt out in groups of
+``ROWS``, each with a copy of it, so no page is one task, however many queries reach it.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; vectors of different lengths
-aren't compared; equal rows are one row; rows with the query's vec_id are its own; rows with a null vec_id take no
-part; ties go to the smaller vec_id; sums are exact up to 2^53.
+aren't compared; every row is a candidate, so a repeated row is one as often as it is there; equal queries (vec_id and
+vector) are one query, and one vec_id with several vectors is a query for each; rows with the query's vec_id are its
+own; rows with a null vec_id take no part; ties go to the smaller vec_id; sums are exact up to 2^53.
 """
 
 from __future__ import annotations
 
 import heapq
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -28,18 +35,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomwright.llm.sampling import smallest_hashes
 from loomwright.session import materialize, table
 
 K, EVERY = 5, 50
-#: Rows that pivots are chosen from, most pages, entries of a tree and of a leaf, children of a node.
-SAMPLE, PAGES, SHARD, LEAF, FANOUT = 4096, 256, 8192, 256, 8
+#: Entries of a page at most, pivots that a page is split among at most, rows of it that they are drawn from.
+SHARD, FAN, PICK = 8192, 256, 1024
+#: Entries of a leaf within a page, children of a node within a page.
+LEAF, FANOUT = 256, 8
+#: Rows that go to a page or node together.
+ROWS = 16_384
 
 
 def whole(vectors: DataFrame) -> DataFrame:
     """vec_id and v (array of double with integer values) of the rows that take part."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.where("vec_id is not null and embedding is not null").where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double")).alias("v")).distinct()
+    return vectors.where("vec_id is not null and embedding is not null").where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double")).alias("v"))
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -137,115 +147,159 @@ class Tree:
         return [(s, -i) for s, i in best]
 
 
-PACKED = "page int, shard int, kind int, query_id long, v array<double>, least double, tree binary"
+def beside(spark: SparkSession, rows: DataFrame, pages: DataFrame, key: list[str], function: Callable, schema: str) -> DataFrame:
+    """``function`` (some rows of a page, the page) -> frame, for all ``rows`` (page and more) beside ``pages`` (page and
+    more; one row each).  Rows of one page are dealt by ``key`` into groups of about ``ROWS``."""
+    parts = materialize(spark, rows.groupBy("page").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("parts")))
+    asked = rows.join(parts, "page").withColumn("salt", F.pmod(F.xxhash64(*key), F.col("parts")).cast("int")).drop("parts")
+    held = pages.join(parts, "page").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return asked.groupBy("page", "salt").cogroup(held.groupBy("page", "salt")).applyInPandas(function, schema)
 
 
-def nearest_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score: the best k of ``vectors`` (vec_id, embedding) for each row of ``queries``."""
-    rows = materialize(spark, whole(vectors))
-    asked = materialize(spark, whole(queries).withColumnRenamed("vec_id", "query_id"))
+def stacked(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype("f8") if len(vectors) else np.zeros((0, 0))
+
+
+def folded(vectors: DataFrame, k: int) -> DataFrame:
+    """page (its length), v, ids of the distinct vectors."""
+    rows = whole(vectors).groupBy("v", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
     first = Window.partitionBy("v").orderBy("vec_id")
-    kept = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)  # group limits apply before the shuffle
-    entries = materialize(spark, kept.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
+    kept = rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1)  # group limits apply before the shuffle
+    ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "n"))), lambda x: F.array_repeat(x["vec_id"], x["n"])))
+    return kept.groupBy("v").agg(ids.alias("ids")).withColumn("page", F.size("v").cast("string"))
+
+
+def pivots_for(pages: DataFrame, big: DataFrame) -> DataFrame:
+    """page, pivots of the pages in ``big`` (page, n), from the ``PICK`` entries with the smallest hashes."""
+    drawn = pages.join(big, "page").withColumn("h", F.xxhash64("v", "page")).where(F.pmod("h", F.lit(1 << 20)) < 4 * PICK / F.col("n") * (1 << 20))
+    least = drawn.withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy("h", "v"))).where(F.col("place") <= PICK)
+
+    def chosen(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("place")
+        x = stacked(part["v"])[: max(2, min(FAN, -(-2 * int(part["n"].iloc[0]) // SHARD)))]
+        return pd.DataFrame({"page": part["page"].iloc[:1], "pivots": [x.tobytes()]})
+
+    return least.select("page", "v", "n", "place").groupBy("page").applyInPandas(chosen, "page string, pivots binary")
+
+
+def descended(spark: SparkSession, rows: DataFrame, pivots: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` (page, v and more) with the page of their nearest pivot where their page has pivots."""
+    split = pivots.select("page")
+    names = rows.columns
+
+    def nearest(part: pd.DataFrame, page: pd.DataFrame) -> pd.DataFrame:
+        if len(part) and len(page):
+            x = stacked(part["v"])
+            p = np.frombuffer(page["pivots"].iloc[0], "f8").reshape(-1, x.shape[1])
+            part = part.assign(page=[f"{at}/{c}" for at, c in zip(part["page"], np.argmin(distances(x, p), 1), strict=True)])
+        return part[names]
+
+    schema = rows.schema.simpleString()[len("struct<") : -1].replace(":", " ", len(names))
+    moved = beside(spark, rows.join(split, "page", "left_semi"), pivots, key, nearest, schema)
+    return rows.join(split, "page", "left_anti").unionByName(moved)
+
+
+def divided(spark: SparkSession, entries: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``entries`` with pages of up to ``SHARD``, and the pivots of each level that they were split by."""
+    pages, levels = materialize(spark, entries), []
+    while True:
+        big = materialize(spark, pages.groupBy("page").agg(F.count("*").alias("n")).where(F.col("n") > SHARD))
+        if big.isEmpty():
+            return pages, levels
+        levels.append(materialize(spark, pivots_for(pages, big)))
+        pages = materialize(spark, descended(spark, pages, levels[-1], ["v"]))
+
+
+def upper(spark: SparkSession, trees: DataFrame, depth: int) -> list[DataFrame]:
+    """The nodes above the trees, level by level from the top: page, node (children, centres, radii, which are trees)."""
+
+    def node(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("page")
+        x, radius, n = stacked(part["centre"]), part["radius"].to_numpy(), part["n"].to_numpy()
+        centre = (x * n[:, None]).sum(0) / n.sum()
+        reach = float((np.sqrt(((x - centre) ** 2).sum(1)) + radius).max())
+        own = pickle.dumps((part["page"].tolist(), x, radius, part["leaf"].tolist()))
+        return pd.DataFrame({"page": part["parent"].iloc[:1], "node": [own], "centre": [centre.tolist()], "radius": [reach], "n": [int(n.sum())]})
+
+    steps = F.size(F.split("page", "/")) - 1
+    known = trees.select("page", "centre", "radius", "n", F.lit(True).alias("leaf"))
+    levels, made = [], None
+    for level in range(depth - 1, -1, -1):
+        below = known.where(steps == level + 1)
+        if made is not None:
+            below = below.unionByName(made.select("page", "centre", "radius", "n", F.lit(False).alias("leaf")))
+        parents = below.withColumn("parent", F.regexp_replace("page", "/[^/]*$", ""))
+        made = materialize(spark, parents.groupBy("parent").applyInPandas(node, "page string, node binary, centre array<double>, radius double, n long"))
+        levels.insert(0, made.select("page", "node"))
+    return levels
+
+
+VISIT = "query_id long, q long, v array<double>, home string, least double, page string, leaf boolean"
+
+
+def nearest_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int = K, told: dict | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the best k of ``vectors`` (vec_id, embedding) for each row of ``queries``.  ``told``
+    gets the numbers of trees, queries and trees visited."""
+    entries = materialize(spark, folded(vectors, k))
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    sizes = {r.d: (r.n, r.m) for r in entries.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(square).alias("m")).collect()}
-    sampled = smallest_hashes(entries.withColumn("doc_id", F.element_at("ids", 1)), SAMPLE).select("v").collect()
-    pivots = {}
-    for d, (n, _) in sizes.items():
-        x = np.array([r.v for r in sampled if len(r.v) == d], "f8").reshape(-1, d)
-        pivots[d] = x[pivots_of(x, min(PAGES, -(-n // SHARD)))] if len(x) else np.zeros((1, d))
-    # pages are numbered over all lengths
-    starts, at = {}, 0
-    for d in sorted(pivots):
-        starts[d] = at
-        at += len(pivots[d])
-    shared = spark.sparkContext.broadcast((pivots, starts, {d: m for d, (_, m) in sizes.items()}))
-
-    def page_of(v: np.ndarray) -> tuple[int, float]:
-        pivots, starts, norms = shared.value
-        if len(v) not in pivots:
-            return -1, 0.0
-        full = ((pivots[len(v)] - v) ** 2).sum(1)
-        page = int(np.argmin(full))
-        return starts[len(v)] + page, float(full[page])
-
-    def paged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(page=np.array([page_of(v)[0] for v in batch["v"]], "i4"))
-
-    assigned = materialize(spark, entries.mapInPandas(paged, "v array<double>, ids array<long>, page int"))
-    shards = {r.page: -(-r.n // SHARD) for r in assigned.groupBy("page").agg(F.count("*").alias("n")).collect()}  # one row for each page
-    parts = F.create_map(*[F.lit(x) for pair in (shards or {0: 1}).items() for x in pair])
-    dealt = assigned.withColumn("shard", F.pmod(F.xxhash64("v"), F.element_at(parts, F.col("page"))).cast("int"))
+    norms = {r.d: r.m for r in entries.groupBy(F.size("v").alias("d")).agg(F.max(square).alias("m")).collect()}  # a row for each length
+    pages, levels = divided(spark, entries)
 
     def built(part: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(part["v"].tolist(), "f8").reshape(len(part), -1)
+        x = stacked(part["v"])
         order = np.argsort([i[0] for i in part["ids"]])
-        tree = Tree(x[order], [list(map(int, part["ids"].iloc[i])) for i in order], shared.value[2][x.shape[1]])
+        tree = Tree(x[order], [list(map(int, part["ids"].iloc[i])) for i in order], norms[x.shape[1]])
         centre = x.mean(0)
-        return pd.DataFrame({"page": part["page"].iloc[:1], "shard": part["shard"].iloc[:1], "tree": [pickle.dumps(tree)], "centre": [centre.tolist()], "radius": [float(np.sqrt(((x - centre) ** 2).sum(1)).max())], "nodes": [len(tree.nodes)]})
-
-    trees = materialize(spark, dealt.groupBy("page", "shard").applyInPandas(built, "page int, shard int, tree binary, centre array<double>, radius double, nodes int"))
-
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, of = None, None
-        for batch in batches:
-            out = []
-            for page, shard, query, v, least, blob in zip(*(batch[c] for c in ("page", "shard", "query_id", "v", "least", "tree")), strict=True):
-                if blob is not None:
-                    tree, of = pickle.loads(blob), (page, shard)
-                elif (page, shard) == of:
-                    out += [(int(query), one, int(score)) for score, one in tree.search(int(query), np.asarray(v, "f8"), k, least)]
-            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    def run(visits: DataFrame) -> DataFrame:
-        """``visits``: query_id, v, least, page, shard.  Each tree is followed by its queries in one partition."""
-        nothing = F.lit(None)
-        held = trees.select("page", "shard", F.lit(0).alias("kind"), nothing.cast("long").alias("query_id"), nothing.cast("array<double>").alias("v"), nothing.cast("double").alias("least"), "tree")
-        asking = visits.select("page", "shard", F.lit(1).alias("kind"), "query_id", "v", "least", nothing.cast("binary").alias("tree"))
-        return held.unionByName(asking).repartition("page", "shard").sortWithinPartitions("page", "shard", "kind").mapInPandas(scored, "query_id long, vec_id long, score long")
-
-    def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(page=np.array([page_of(v)[0] for v in batch["v"]], "i4"))
-
-    counted = F.coalesce(F.element_at(parts, F.col("page")), F.lit(0))
-    homes = materialize(spark, asked.mapInPandas(home, "query_id long, v array<double>, page int").where("page >= 0"))
-    near = homes.withColumn("least", F.lit(float("-inf"))).withColumn("shard", F.explode(F.sequence(F.lit(0), counted - 1)))
-    found = materialize(spark, run(near).distinct())
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    least = found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("least"))
-    bounds = [(r.page, r.shard, r.centre, r.radius) for r in trees.select("page", "shard", "centre", "radius").toLocalIterator()] if sum(shards.values()) <= 4 * PAGES else None
-    reach = spark.sparkContext.broadcast(bounds)  # 4 x PAGES rows at most; with more trees every tree of a length is visited
-
-    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables: dict[int, tuple] = {}
-        for page, shard, centre, radius in reach.value:
-            tables.setdefault(len(centre), ([], [], [], []))
-            for x, y in zip(tables[len(centre)], (page, shard, centre, radius), strict=True):
-                x.append(y)
-        tables = {d: tuple(map(np.array, t)) for d, t in tables.items()}
-        for batch in batches:
+        return pd.DataFrame({"page": part["page"].iloc[:1], "tree": [pickle.dumps(tree)], "centre": [centre.tolist()], "radius": [float(np.sqrt(((x - centre) ** 2).sum(1)).max())], "n": [len(x)]})
+
+    trees = materialize(spark, pages.groupBy("page").applyInPandas(built, "page string, tree binary, centre array<double>, radius double, n long"))
+
+    def scored(part: pd.DataFrame, page: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(part) and len(page):
+            tree = pickle.loads(page["tree"].iloc[0])
+            for query, q, v, least in zip(part["query_id"], part["q"], part["v"], part["least"], strict=True):
+                out += [(int(query), int(q), one, int(score)) for score, one in tree.search(int(query), np.asarray(v, "f8"), k, least)]
+        return pd.DataFrame(out, columns=["query_id", "q", "vec_id", "score"]).astype("int64")
+
+    key, grown = ["query_id", "q"], trees.select("page", "tree")
+    found_as = "query_id long, q long, vec_id long, score long"
+    asked = whole(queries).distinct().select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("q"), "v", F.size("v").cast("string").alias("page"))
+    homes = materialize(spark, asked)
+    for pivots in levels:
+        homes = materialize(spark, descended(spark, homes, pivots, key))
+    found = materialize(spark, beside(spark, homes.withColumn("least", F.lit(float("-inf"))), grown, key, scored, found_as))
+    rank = Window.partitionBy(*key).orderBy(F.desc("score"), "vec_id")
+    if levels:
+        least = found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") == k).select(*key, F.col("score").cast("double").alias("least"))
+
+        def reached(part: pd.DataFrame, page: pd.DataFrame) -> pd.DataFrame:
             out = []
-            for query, v, page, least in zip(batch["query_id"], batch["v"], batch["page"], batch["least"], strict=True):
-                pages, numbers, centres, radii = tables[len(v)]
-                most = centres @ v + radii * np.sqrt(float(v @ v))  # no inner product within the radius is larger
-                fit = (pages != page) & (most + 1e-6 * (1 + np.abs(most)) >= least)
-                out += [(query, v, float(least), int(p), int(s)) for p, s in zip(pages[fit], numbers[fit], strict=True)]
-            yield pd.DataFrame(out, columns=["query_id", "v", "least", "page", "shard"]).astype({"query_id": "int64", "page": "int32", "shard": "int32", "least": "float64"})
-
-    started = homes.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
-    schema = "query_id long, v array<double>, least double, page int, shard int"
-    if bounds is None:
-        ends = F.create_map(*[F.lit(x) for d in starts for x in (d, starts[d] + len(pivots[d]))])
-        begins = F.create_map(*[F.lit(x) for d in starts for x in (d, starts[d])])
-        length = F.size("v")
-        every = F.sequence(F.element_at(begins, length), F.element_at(ends, length) - 1)
-        far = started.withColumnRenamed("page", "own").withColumn("page", F.explode(every)).where("page <> own").withColumn("shard", F.explode(F.sequence(F.lit(0), counted - 1)))
-    else:
-        far = started.mapInPandas(others, schema)
-    merged = found.unionByName(run(far)).distinct()
-    return merged.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            if len(part) and len(page):
+                children, centres, radii, leaves = pickle.loads(page["node"].iloc[0])
+                x = stacked(part["v"])
+                most = x @ centres.T + np.sqrt((x * x).sum(1))[:, None] * radii  # no inner product within a radius is larger
+                fit = most + 1e-6 * (1 + np.abs(most)) >= part["least"].to_numpy()[:, None]
+                for row, (query, q, v, home, bound) in enumerate(zip(*(part[c] for c in ("query_id", "q", "v", "home", "least")), strict=True)):
+                    out += [(query, q, v, home, bound, children[c], leaves[c]) for c in np.flatnonzero(fit[row]) if children[c] != home]
+            return pd.DataFrame(out, columns=[c.split()[0] for c in VISIT.split(", ")]).astype({"query_id": "int64", "q": "int64", "least": "float64", "leaf": "bool"})
+
+        started = homes.withColumnRenamed("page", "home").join(least, key, "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+        visits = started.select("query_id", "q", "v", "home", "least", F.size("v").cast("string").alias("page"))
+        far = []
+        for nodes in upper(spark, trees, len(levels)):
+            met = materialize(spark, beside(spark, visits, nodes, key, reached, VISIT))
+            far.append(met.where("leaf"))
+            visits = met.where(~F.col("leaf")).drop("leaf")
+        others = far[0]
+        for more in far[1:]:
+            others = others.unionByName(more)
+        if told is not None:
+            told["visits"] = others.count() + homes.count()
+        found = found.unionByName(beside(spark, others.drop("leaf"), grown, key, scored, found_as))
+    if told is not None:
+        told |= {"trees": trees.count(), "queries": homes.count()} | ({} if levels else {"visits": homes.count()})
+    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,10 +314,10 @@ WITH v AS (
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % {EVERY} = 0
+  SELECT q.vec_id AS query_id, q.e, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % {EVERY} = 0) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, e ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {K}
 """
