@@ -7,8 +7,10 @@ differ, which at high similarity is far more precise for its bytes than the samp
 pairs whose sketches could belong to linked sets count; they join documents into candidate clusters, and within a
 cluster every such pair that isn't connected yet is confirmed on the full sets.
 
-Skew: copies are folded before banding; buckets and clusters of more than ``BLOCK`` documents are dealt out as pairs of
-blocks, so a task holds two blocks at most; nothing is capped or dropped.  A pair that is linked is missed only if no
+Skew: copies are folded before banding; buckets of more than ``BLOCK`` documents are dealt out as pairs of blocks, so a
+task holds two blocks at most.  A cluster of more than ``BLOCK`` documents is first compared with its smallest one, in
+parts that hold that one's text each; only documents that aren't linked with it (and so with each other) are then
+compared among themselves and with the rest, as pairs of blocks.  Nothing is capped or dropped.  A pair that is linked is missed only if no
 band agrees (under ``MISSED`` at the threshold, for which the number of bands is chosen) or its sketches differ by ``MARGIN`` standard errors more than they should.
 
 Defined cases: a text without words (or null) has an empty set and is linked with nothing; with fewer than five words
@@ -40,8 +42,9 @@ MISSED = 1e-5
 MARGIN = 4.0
 #: Documents of a bucket or cluster that are dealt to one task together.
 BLOCK = 512
-#: Rows up to which the table of clustered documents is broadcast to the texts; a longer one is joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Bytes of a clustered document without its text, and bytes up to which these are broadcast to the texts; more are joined
+#: by a shuffle.
+MEMBER_BYTES, BROADCAST_BYTES = 128, 32_000_000
 _RNG = np.random.RandomState(20240229)
 _A = (_RNG.randint(0, 1 << 31, SAMPLES).astype("u4") << np.uint32(1)) | np.uint32(1)
 _B = _RNG.randint(0, 1 << 32, SAMPLES, dtype="u8").astype("u4")
@@ -263,6 +266,35 @@ def dealt(rows: DataFrame, key: str, counts: DataFrame) -> DataFrame:
     return each.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", F.col("own") == F.col("i")).drop("n", "blocks", "own", "other")
 
 
+def stars(members: DataFrame) -> DataFrame:
+    """Members of large clusters in parts of about ``BLOCK``, each beside the cluster's smallest document."""
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    others = members.where("doc_id <> cluster").withColumn("i", F.pmod(F.xxhash64("doc_id", F.lit("star")), parts).cast("int")).withColumn("side", F.lit(False))
+    firsts = members.where("doc_id = cluster").withColumn("i", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("side", F.lit(True))
+    return others.unionByName(firsts).withColumn("j", F.lit(-1))
+
+
+def crossed(apart: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs of blocks: documents of ``apart`` among themselves, and beside those of ``joined`` in their cluster."""
+    mine, theirs = (x.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name)) for x, name in ((apart, "mine"), (joined, "theirs")))
+    counts = apart.groupBy("cluster").agg(F.count("*").alias("n"))
+    among = dealt(apart, "cluster", counts)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    block = lambda n: F.pmod(F.xxhash64("doc_id", F.lit("cross")), F.col(n)).cast("int")
+    a = apart.join(mine, "cluster").join(theirs, "cluster").withColumn("i", block("mine")).withColumn("j", every("theirs")).withColumn("side", F.lit(True))
+    b = joined.join(mine, "cluster").join(theirs, "cluster").withColumn("j", block("theirs")).withColumn("i", every("mine")).withColumn("side", F.lit(False))
+    return among.unionByName(a.unionByName(b).withColumn("j", -1 - F.col("j")).drop("mine", "theirs"))
+
+
+def confirm_links(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the blocks in ``members`` (cluster, i, j, side, doc_id, n_shingles, sketch), by the full sets."""
+    members = materialize(docs.sparkSession, members)
+    sized = F.broadcast if members.count() * MEMBER_BYTES <= BROADCAST_BYTES else (lambda x: x)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sized(members), "doc_id")
+    group = ["cluster", "i", "j"]
+    return texts.select(*group, "side", "doc_id", "n_shingles", "sketch", "text").repartition(*group).sortWithinPartitions(*group).mapInPandas(in_groups(partial(confirm, percent=percent), group), "a long, b long")
+
+
 def near_links(spark: SparkSession, docs: DataFrame, signed: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, root) of the class representatives that are linked with another class."""
     first = signed.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
@@ -278,11 +310,15 @@ def near_links(spark: SparkSession, docs: DataFrame, signed: DataFrame, percent:
     # a doc_id with several texts has no one sketch: theirs are made again from the texts
     one = F.count("*") == 1
     drawn = firsts.groupBy("doc_id").agg(F.when(one, F.first("sketch")).alias("sketch"), F.when(one, F.first("n_shingles")).alias("n_shingles"))
-    members = materialize(spark, dealt(clusters.join(drawn, "doc_id"), "cluster", sizes))
-    small = F.broadcast if members.count() <= BROADCAST_ROWS else (lambda x: x)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(members), "doc_id")
-    group = ["cluster", "i", "j"]
-    confirmed = texts.select(*group, "side", "doc_id", "n_shingles", "sketch", "text").repartition(*group).sortWithinPartitions(*group).mapInPandas(in_groups(partial(confirm, percent=percent), group), "a long, b long")
+    members = materialize(spark, clusters.join(drawn, "doc_id").join(sizes, "cluster"))
+    small = members.where(F.col("n") <= BLOCK).withColumn("i", F.lit(0)).withColumn("j", F.lit(0)).withColumn("side", F.lit(True))
+    confirmed = materialize(spark, confirm_links(docs, small.unionByName(stars(members.where(F.col("n") > BLOCK))).drop("n"), percent))
+    large = members.where(F.col("n") > BLOCK).drop("n")
+    if not large.isEmpty():
+        # links go to the smallest document that a task has joined, which in these parts is the cluster's own
+        joined = materialize(spark, large.join(confirmed, (large["cluster"] == confirmed["b"]) & (large["doc_id"] == confirmed["a"]), "left_semi"))
+        apart = materialize(spark, large.where("doc_id <> cluster").join(joined.select("doc_id"), "doc_id", "left_anti"))
+        confirmed = confirmed.unionByName(confirm_links(docs, crossed(apart, joined), percent))
     # an id with several texts joins the classes of all of them
     rows = signed.where("class is not null and doc_id is not null").select("doc_id", "class")
     several = rows.groupBy("doc_id").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("doc_id")

@@ -70,12 +70,37 @@ def family(rng, copies, words=120):
     return out
 
 
+def chain(rng, copies, words=120):
+    """Each text is near to the one before it, few are near to the first."""
+    text = [f"c{rng.randrange(5000)}" for _ in range(words)]
+    out = []
+    for k in range(copies):
+        text = list(text)
+        text[(7 * k) % words] = f"y{k}"
+        out.append(" ".join(text))
+    return out
+
+
+def test_large_clusters_compare_few_pairs(spark, monkeypatch):
+    """Copies of one text are compared with it alone: no document of a star is in a second block."""
+    monkeypatch.setattr(near, "BLOCK", 10)
+    seen = []
+    plain = near.confirm_links
+    monkeypatch.setattr(near, "confirm_links", lambda docs, members, percent: (seen.append(members.count()), plain(docs, members, percent))[1])
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    docs = [(0, " ".join(base))] + [(k, " ".join([*base, f"end{k}"])) for k in range(1, 101)]
+    out = near.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.component_id for r in out.collect()} == {0}
+    assert seen[0] <= 100 + 11 and sum(seen[1:]) == 0
+
+
 @pytest.mark.parametrize("block", [512, 7])
 def test_families_against_brute_force(spark, block, monkeypatch):
     monkeypatch.setattr(near, "BLOCK", block)
-    monkeypatch.setattr(near, "BROADCAST_ROWS", 200_000 if block == 512 else 0)
+    monkeypatch.setattr(near, "BROADCAST_BYTES", 32_000_000 if block == 512 else 0)
     rng = random.Random(block)
-    texts = [t for k in (1, 1, 1, 2, 3, 8, 40) for t in family(rng, k)] + ["same text here now ok"] * 30
+    texts = [t for k in (1, 1, 1, 2, 3, 8, 40) for t in family(rng, k)] + chain(rng, 40) + ["same text here now ok"] * 30
     docs = list(enumerate(rng.sample(texts, len(texts))))
     docs += [(900, None), (901, ""), (902, " \t"), (903, "one two"), (904, "ONE\x0btwo"), (905, "one two three"), (None, texts[0]), (3, dict(docs)[3]), (906, "é " * 40), (907, "long words " + "again and " * 60_000)]
     df = spark.createDataFrame([(d, t, "clash") for d, t in docs], "doc_id long, text string, class string")
