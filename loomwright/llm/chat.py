@@ -8,8 +8,8 @@ last assistant turn (or a conversation without one) is an example with a context
 every turn.
 
 Defined cases: null texts and roles are empty; null turns come first; equal turn numbers are ordered by role, then
-text; repeated rows are turns of their own; rows with a null conv_id are one conversation; an empty table gives no
-examples; only conv_id, turn, role and text are read.  A conversation is one value by contract (its digest is of its
+text; repeated rows are turns of their own; a row with a null conv_id is a conversation of its own, as nothing says which
+rows would belong together; an empty table gives no examples; only conv_id, turn, role and text are read.  A conversation is one value by contract (its digest is of its
 whole text), so it has to fit a task.
 """
 
@@ -35,7 +35,9 @@ def expand(turns: DataFrame) -> DataFrame:
     """conv_id, example (the place of the reply, or of the end), formatted, loss_start, loss_length (in characters of
     ``formatted``; null where nothing is trained on)."""
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    gathered = turns.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    rows = turns.select("conv_id", turn.alias("t"))
+    gathered = rows.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    gathered = gathered.unionByName(rows.where("conv_id is null").select("conv_id", F.array("t").alias("turns")))
     # each turn is formatted once; an example joins the first of them
     marked = gathered.select(
         "conv_id",
@@ -62,11 +64,13 @@ def read_back(examples: DataFrame) -> DataFrame:
     """The digests of each conversation, from formatted text and loss spans alone: the longest example holds all turns,
     the loss spans hold each assistant text once."""
     under = F.when(F.col("loss_start").isNotNull(), unescaped(F.substring(F.col("formatted"), F.col("loss_start") + 1, F.col("loss_length"))))
-    by = examples.groupBy("conv_id").agg(
+    by = examples.where("conv_id is not null").groupBy("conv_id").agg(
         F.max_by("formatted", "example").alias("whole"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(under.isNotNull(), F.struct(F.col("example"), under.alias("text"))))), lambda x: x["text"]), "").alias("loss"),
         F.sum(F.char_length("formatted")).alias("formatted_chars"),
     )
+    alone = examples.where("conv_id is null").select("conv_id", F.col("formatted").alias("whole"), F.coalesce(under, F.lit("")).alias("loss"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+    by = by.unionByName(alone)
     # one split at the opening marks; a role ends at the first newline that isn't part of it, which roles can't hold
     parts = F.slice(F.split("whole", r"\[INST\]"), 2, F.size(F.split("whole", r"\[INST\]")) - 1)
     bare = F.transform(parts, lambda p: F.regexp_replace(p, r"(\[/INST\]|</s>)\z", ""))
@@ -89,14 +93,14 @@ def op10_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same over DuckDB: lengths of the formatted text are summed instead of building it.
 ORACLE = """
-WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+WITH t AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, NULL, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, alone ORDER BY turn, role, text) AS k, count(*) OVER (PARTITION BY conv_id, alone) AS n,
   7 + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')) + length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')) AS own FROM t),
-s AS (SELECT *, coalesce(sum(own + 7) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)
+s AS (SELECT *, coalesce(sum(own + 7) OVER (PARTITION BY conv_id, alone ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN before + own + 4 WHEN k = n THEN before + own + 7 ELSE 0 END) AS BIGINT) AS formatted_chars
-FROM s GROUP BY conv_id
+FROM s GROUP BY conv_id, alone
 """

@@ -1,8 +1,9 @@
 import hashlib
 
+import duckdb
 from pyspark.sql import functions as F
 
-from loomwright.llm.chat import CLOSE, END, OPEN, expand, op10_prefix_target_chat, read_back
+from loomwright.llm.chat import CLOSE, END, OPEN, ORACLE, expand, op10_prefix_target_chat, read_back
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 
@@ -16,13 +17,13 @@ def digest(rows):
 
 def brute(rows):
     by = {}
-    for c, t, r, x in rows:
-        by.setdefault(c, []).append((t, r, x))
-    return {c: digest(v) for c, v in by.items()}
+    for k, (c, t, r, x) in enumerate(rows):
+        by.setdefault((c, k if c is None else None), []).append((t, r, x))  # a row without a conversation is one itself
+    return sorted(((c, *digest(v)) for (c, _), v in by.items()), key=str)
 
 
 def got(df):
-    return {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in df.collect()}
+    return sorted(((r.conv_id, r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in df.collect()), key=str)
 
 
 HARD = [
@@ -45,6 +46,19 @@ def test_one_example_for_each_reply(spark):
     assert out[0].formatted[out[0].loss_start :][: out[0].loss_length] == "é🙂"
 
 
+def test_rows_without_a_conversation_are_not_one_group(spark):
+    rows = [(None, 0, "assistant", "same")] * 50 + [(None, None, None, None), (7, 0, "user", "x")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert got(read_back(expand(df))) == brute(rows)
+    db = duckdb.connect()
+    db.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    db.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    names = "conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars"
+    extra = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], SCHEMA)
+    mine = read_back(expand(df.unionByName(extra))).select(*names.split(", ")).collect()
+    assert sorted(map(tuple, mine), key=str) == sorted(db.execute(f"SELECT {names} FROM ({ORACLE})").fetchall(), key=str)
+
+
 def test_empty_table(spark):
     assert read_back(expand(spark.createDataFrame([], SCHEMA))).count() == 0
 
