@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.session import materialize
+from loomwright.session import discard, materialize
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         moved = materialize(spark, found.join(found.select(F.col("least").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("root"), F.col("least").alias("next")))
         if moved.isEmpty() and found.where(F.size("roots") > 1).isEmpty():
             break
-        linked = materialize(spark, linked)
+        linked, before = materialize(spark, linked), rows
         rows = materialize(spark, linked.join(moved, "root", "left").select("node", F.coalesce("next", "root").alias("root")).where("node <> root").unionByName(moved.select(F.col("root").alias("node"), F.col("next").alias("root"))).distinct())
+        discard(spark, before, found, moved, linked)
     roots = found.select(F.col("least").alias("node")).distinct().withColumn("root", F.col("node"))
     return found.select("node", F.col("least").alias("root")).unionByName(roots)

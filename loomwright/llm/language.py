@@ -7,8 +7,8 @@ buckets.  Spherical k-means gives each language up to ``CENTROIDS`` centroids.
 A text is rejected if its cosine to the nearest centroid is under the ``LOW`` quantile of the cosines that texts of its
 length (by powers of two of the letters) have to their own language, as any text's cosine rises with its length.  Those
 are measured on windows of all lengths, cut from documents that the measuring centroids weren't fitted on (the sample
-is halved, each half is measured against the other's), so short texts have as many as long ones.  A length that no
-window has takes the floor of the next shorter one; without any window nothing is too far.
+is halved, each half is measured against the other's), so short texts have as many as long ones.  Lengths that too few
+windows have are measured together with shorter ones; without any window nothing is too far.
 
 Fitting uses a bounded sample (``SAMPLE`` documents with a language); whole texts of all documents are classified.
 
@@ -132,12 +132,18 @@ def own_cosines(model: Model, lang: str, text: str) -> Iterator[tuple[int, float
 
 
 def limits(found: list[tuple[int, float]]) -> np.ndarray:
-    """The floor of each power of two of the letters, ``ROUNDING`` under the quantile."""
+    """The floor of each power of two of the letters, ``ROUNDING`` under the quantile.  Lengths that too few windows have
+    to tell the quantile are taken together with shorter ones, whose cosines are lower."""
     floors, by = np.zeros(41), {}
     for bits, cosine in found:
         by.setdefault(bits, []).append(cosine)
     for b in range(1, 41):
-        floors[b] = np.quantile(by[b], LOW, method="lower") - ROUNDING if b in by else floors[b - 1]
+        pool: list[float] = []
+        for a in range(b, 0, -1):
+            pool += by.get(a, [])
+            if len(pool) >= 1 / LOW:
+                break
+        floors[b] = np.quantile(pool, LOW, method="lower") - ROUNDING if pool else 0.0
     return floors
 
 

@@ -78,7 +78,7 @@ def test_query_against_brute_force(spark, tiny):
 def test_floors_come_from_texts_of_each_length():
     found = [(3, 0.2 + k / 1000) for k in range(1000)] + [(5, 0.5)]
     floors = g.limits(found)
-    assert floors[2] == 0 and floors[3] == np.quantile([c for b, c in found if b == 3], g.LOW, method="lower") - g.ROUNDING and floors[4] == floors[3] and floors[40] == floors[5] > floors[4]
+    assert floors[2] == 0 and floors[3] == np.quantile([c for b, c in found if b == 3], g.LOW, method="lower") - g.ROUNDING and floors[4] == floors[3] and abs(floors[40] - floors[3]) < 2e-3 and floors[5] < 0.3  # one window is too few: measured with those of the next shorter length
     assert max(len(w) for w in g.windows("ab cd " * 50)) == 300 and [len(w) for w in g.windows("ab cd ")] == [6, 2, 3]
 
 

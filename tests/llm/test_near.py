@@ -17,7 +17,7 @@ def word_set(text):
     return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4)))
 
 
-def brute(docs):
+def brute(docs, percent=85):
     """(component, set size) by row, from all pairs that share a shingle."""
     sets = [word_set(t) for _, t in docs]
     up = {}
@@ -49,7 +49,7 @@ def brute(docs):
                     both[other] += 1
         for other, n in both.items():
             t, theirs = classes[other]
-            if 100 * n >= 85 * (len(s) + len(t) - n) and (k, other) not in seen:
+            if 100 * n >= percent * (len(s) + len(t) - n) and (k, other) not in seen:
                 a, b = root(ids[0]), root(theirs[0])
                 up[max(a, b)] = min(a, b)
     return [(d, len(s), d if d is None or not s else root(d)) for (d, _), s in zip(docs, sets, strict=True)]
