@@ -28,7 +28,8 @@ NEAR_PERCENT = 80
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group stays, once; rows without a doc_id stay."""
+    """The smallest doc_id of each group stays; rows without a doc_id stay.  Of rows that share a doc_id and a text one
+    stays, the smallest; rows that share a doc_id and differ in text are no copies of each other and all stay."""
     found = near.near_duplicates(spark, docs, NEAR_PERCENT)
     gone = materialize(spark, found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
     left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
@@ -36,7 +37,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if repeated.isEmpty():
         return left
     once = left.join(repeated, left["doc_id"] == repeated["_again"], "left_anti")
-    return once.unionByName(left.join(repeated, left["doc_id"] == repeated["_again"], "left_semi").dropDuplicates(["doc_id"]))
+    rows = left.join(repeated, left["doc_id"] == repeated["_again"], "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    least = rows.groupBy(F.col("doc_id").alias("_id"), F.sha2("text", 256).alias("_digest")).agg(F.min(whole).alias("_row"))
+    return once.unionByName(least.select("_row.*"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -51,11 +52,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set (tests, local mode)."""
+    """The folder that all executors share, ``spark.checkpoint.dir``.  A temporary one stands in for it only where driver
+    and executors are one process (local mode); anywhere else a missing setting is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("spark.loomwright.localDir", None)
         if not found:
+            master = spark.conf.get("spark.master", "")
+            if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+                raise RuntimeError(f"spark.checkpoint.dir isn't set: executors of {master!r} share no other folder")
             found = f"file://{tempfile.mkdtemp(prefix='loomwright-')}"
             spark.conf.set("spark.loomwright.localDir", found)
     return found.rstrip("/")
@@ -71,7 +76,9 @@ def materialize(spark: SparkSession, df: DataFrame) -> DataFrame:
     ship(spark)
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loomwright_path = path
+    return out
 
 
 def counted(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, int]:
@@ -81,6 +88,15 @@ def counted(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, int]:
     return out, seen.get["n"]
 
 
+def discard(spark: SparkSession, *frames: DataFrame | None) -> None:
+    """Deletes what :func:`materialize` wrote for ``frames`` (others are passed over); nothing may read them any more."""
+    for df in frames:
+        path = getattr(df, "_loomwright_path", None)
+        if path is not None:
+            held = spark._jvm.org.apache.hadoop.fs.Path(path)
+            held.getFileSystem(spark._jsc.hadoopConfiguration()).delete(held, True)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes what this application has materialized; frames that read it can't be used afterwards."""
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
