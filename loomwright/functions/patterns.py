@@ -33,7 +33,7 @@ class Pattern:
         for name in set(constraints) & set(self.names):
             check_constraint(name, constraints[name])
         body = "".join(quote(v) if k == "text" else f"({no_groups(constraints.get(v, '[^/]+'))})" for k, v in self.pieces)
-        return f"^{body}$"
+        return f"\\A{body}\\z"
 
 
 _PIECE = re.compile(r"\{\{(?P<kept>.*?)\}\}|\{(?P<name>[^{}]*)\}|(?P<bad>[{}])|(?P<text>[^{}]+)", re.S)
@@ -69,13 +69,37 @@ def quote(text: str) -> str:
 
 
 def no_groups(expression: str) -> str:
-    """The expression with its own groups made non-capturing, so that group numbers are the wildcards'."""
-    return re.sub(r"(?<!\\)\((?!\?)", "(?:", expression)
+    """The expression with its own groups, numbered or named, made non-capturing, so that group numbers are the
+    wildcards'; what is escaped or stands in a character class is left as it is."""
+    out, at, inside = [], 0, False
+    while at < len(expression):
+        c = expression[at]
+        if c == "\\":
+            out.append(expression[at : at + 2])
+            at += 2
+            continue
+        named = None if inside else re.match(r"\(\?P?<[A-Za-z_]\w*>", expression[at:])
+        if inside:
+            inside = c != "]" or expression[at - 1] == "[" or expression[at - 2 : at] == "[^"
+        elif c == "[":
+            inside = True
+        if named:
+            out.append("(?:")
+            at += len(named[0])
+            continue
+        out.append("(?:" if c == "(" and not inside and expression[at + 1 : at + 2] != "?" else c)
+        at += 1
+    return "".join(out)
+
+
+def compiled(pattern: Pattern, constraints: dict[str, str] | None = None, tail: str = "") -> re.Pattern:
+    """:meth:`Pattern.regex` for the driver, where the end of a text is written otherwise; ``tail`` may follow it."""
+    return re.compile(pattern.regex(constraints)[:-2] + tail + r"\Z")
 
 
 def check_constraint(name: str, expression: str) -> None:
     """Look-around and back-references are refused: not every engine that reads the rules has them."""
-    if re.search(r"\(\?[=!<]|\\[1-9]", expression):
+    if re.search(r"\(\?(?:[=!]|<[=!])|\(\?P=|\\[1-9]", expression):
         raise PatternError(f"constraint of {name!r} uses look-around or a back-reference")
     try:
         re.compile(expression)
@@ -114,8 +138,8 @@ def fill(pattern: Pattern, wildcards: dict[str, str]) -> str:
 
 def match(pattern: Pattern, path: str, constraints: dict[str, str] | None = None) -> dict[str, str] | None:
     """:func:`resolve` for one path on the driver."""
-    m = re.match(pattern.regex(constraints), path)
-    if not m or path.endswith("\n"):
+    m = compiled(pattern, constraints).match(path)
+    if not m:
         return None
     found: dict[str, str] = {}
     for name, value in zip((v for k, v in pattern.pieces if k == "wild"), m.groups(), strict=True):
@@ -130,7 +154,7 @@ def within(constraints: dict[str, str], wildcards: Column) -> Column:
     for name, expression in sorted(constraints.items()):
         check_constraint(name, expression)
         value = F.try_element_at(wildcards, F.lit(name))
-        fine = fine & F.coalesce(value.rlike(f"^(?:{expression})$"), F.lit(True))
+        fine = fine & F.coalesce(value.rlike(f"\\A(?:{expression})\\z"), F.lit(True))
     return fine
 
 

@@ -5,6 +5,8 @@ Keys are SHA-256 over length-framed fields, so no two field lists run into each
 from __future__ import annotations
 
 import hashlib
+import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +59,24 @@ def cache_key_of(source: str, inputs: list[tuple[str, str | None]], params: str
     return hashlib.sha256("".join(parts).encode()).hexdigest()
 
 
+def framed_map(values: dict[str, str]) -> str | None:
+    """A text map as one text in which no two maps are alike; None for an empty one."""
+    return "".join(framed_text("k", k) + framed_text("v", v) for k, v in sorted(values.items())) or None
+
+
+def env_hash(spec: str | dict | None, content: Callable[[str], bytes | None]) -> str | None:
+    """A hash of an environment: of its specification, and of what is in the files that it names."""
+    if spec is None:
+        return None
+    named = sorted({str(v) for v in (spec.values() if isinstance(spec, dict) else [spec])})
+    text = framed_text("spec", json.dumps(spec, sort_keys=True))
+    for name in named:
+        found = content(name)
+        if found is not None:
+            text += framed_text("file", name) + framed_text("hash", hashlib.sha256(found).hexdigest())
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def valid(mode: str, current_mtime: Column, current_size: Column, current_hash: Column, mtime: Column, size: Column, hash: Column) -> Column:
     """Whether a file is as recorded: by time and size, by these with the hash as a second look, or by the hash."""
     same_meta = F.coalesce((current_mtime == mtime) & (current_size == size), F.lit(False))

@@ -270,7 +270,7 @@ class Producers:
 
     @staticmethod
     def _matcher(pattern: patterns.Pattern, constraints: dict[str, str]) -> Callable[[str], dict[str, str] | None]:
-        fits = re.compile(pattern.regex(constraints)[:-1] + r"\Z").match
+        fits = patterns.compiled(pattern, constraints).match
         names = [v for k, v in pattern.pieces if k == "wild"]
 
         def matched(path: str) -> dict[str, str] | None:

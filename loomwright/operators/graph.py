@@ -1,14 +1,25 @@
 """Graph queries over an edge table (from_job, to_job): closures, paths, levels, critical path, readiness and checks.
 
-Closures go level by level with an anti-join on what has been seen, so diamonds cost no more than once; each level is
-written to the shared folder, which cuts the lineage and survives lost executors.  Only counts come to the driver."""
+Edges are read once.  A graph of up to ``LOCAL_EDGES`` edges (counted, not guessed: one row more is asked for) is
+walked on the driver, as a session's is, with no Spark job for a level.  A larger one is written once and goes level by
+level with an anti-join on what has been seen, so diamonds cost no more than once; each level is written to the shared
+folder, which cuts the lineage and survives lost executors, and only counts come to the driver.  Both ways give the
+same rows.  Ids are numbers or texts, not null."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.session import counted, materialize
+from loomwright.session import counted, discard, materialize
+
+#: Edges (and nodes, and seeds) up to which a graph is walked on the driver: about 20 MB there.
+LOCAL_EDGES = 200_000
+#: Levels after which what has been seen is written anew as one set of files.
+COMPACT = 8
 
 
 class CycleError(ValueError):
@@ -19,8 +30,48 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("to_job").alias("from_job"), F.col("from_job").alias("to_job"))
 
 
+def held(df: DataFrame, *names: str) -> list[tuple] | None:
+    """The rows of a small table, or None if it has more than ``LOCAL_EDGES``."""
+    found = df.select(*names).limit(LOCAL_EDGES + 1).toArrow()
+    if found.num_rows > LOCAL_EDGES:
+        return None
+    return list(zip(*(found.column(n).to_pylist() for n in names), strict=True))
+
+
+def framed(spark: SparkSession, like: DataFrame, column: str, names: list[str], rows: Iterable[tuple]) -> DataFrame:
+    """Rows of (id, number, ..) as a frame; ids have the type of ``column`` in ``like``."""
+    rows = list(rows)
+    ids = like.select(column).schema[0].dataType.simpleString()
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    arrays = [pa.array(list(c), kinds.get(ids, pa.int64()) if n == "id" else pa.int32()) for n, c in zip(names, columns, strict=True)]
+    return spark.createDataFrame(pa.table(arrays, names))
+
+
+def successors(edges: list[tuple]) -> dict:
+    out: dict = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    return out
+
+
 def closure(spark: SparkSession, edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(id, depth) of all nodes downstream of ``seeds`` (id), without these, with the distance in edges."""
+    near, start = held(edges, "from_job", "to_job"), held(seeds, "id")
+    if near is None or start is None:
+        return closure_spread(spark, materialize(spark, edges.select("from_job", "to_job")), seeds)
+    below, depth = successors(near), 0
+    frontier = {i for (i,) in start}
+    seen = dict.fromkeys(frontier, 0)
+    while frontier:
+        depth += 1
+        frontier = {t for f in frontier for t in below.get(f, ()) if t not in seen}
+        seen |= dict.fromkeys(frontier, depth)
+    return framed(spark, seeds, "id", ["id", "depth"], ((i, d) for i, d in seen.items() if d))
+
+
+def closure_spread(spark: SparkSession, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """:func:`closure` level by level; ``edges`` is a written table."""
     frontier = materialize(spark, seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     seen, depth = frontier, 0
     while True:
@@ -30,6 +81,8 @@ def closure(spark: SparkSession, edges: DataFrame, seeds: DataFrame) -> DataFram
         if not n:
             return seen.where("depth > 0")
         seen = seen.unionByName(frontier)
+        if depth % COMPACT == 0:
+            seen = materialize(spark, seen)
 
 
 def deps(spark: SparkSession, edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -54,37 +107,94 @@ def all_paths(spark: SparkSession, edges: DataFrame, start: DataFrame, end: Data
 def levels(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level): the longest distance from a root; a topological order is by level, then id.
 
-    A round moves all direct successors one level on; nodes that are reached again move with it."""
-    most = nodes.select("id").distinct().count()
-    roots = nodes.select("id").join(edges.select(F.col("to_job").alias("id")), "id", "left_anti")
-    frontier, n = counted(spark, roots.distinct().withColumn("level", F.lit(0)))
-    found, level = frontier, 0
+    Nodes whose upstream nodes are all placed are peeled off, so each edge counts once; where nothing can be peeled and
+    nodes are left, there is a cycle.  Edges between nodes that aren't in ``nodes`` don't count."""
+    near, mine = held(edges, "from_job", "to_job"), held(nodes, "id")
+    if near is None or mine is None:
+        return levels_spread(spark, nodes, edges)
+    return framed(spark, nodes, "id", ["id", "level"], placed({i for (i,) in mine}, successors(near)).items())
+
+
+def placed(nodes: set, below: dict) -> dict:
+    """The level of each node on the driver."""
+    left = dict.fromkeys(nodes, 0)
+    for f, ts in below.items():
+        for t in ts:
+            if f in left and t in left:
+                left[t] += 1
+    frontier, level, out = [i for i, n in left.items() if not n], 0, {}
+    while frontier:
+        out |= dict.fromkeys(frontier, level)
+        step = []
+        for f in frontier:
+            for t in below.get(f, ()):
+                if t in left:
+                    left[t] -= 1
+                    if not left[t]:
+                        step.append(t)
+        frontier, level = step, level + 1
+    if len(out) < len(nodes):
+        raise CycleError("the graph has a cycle")
+    return out
+
+
+def levels_spread(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """:func:`levels` with one write of what is left for each level."""
+    nodes = materialize(spark, nodes.select("id").distinct())
+    known = edges.select("from_job", "to_job").distinct().join(nodes.withColumnRenamed("id", "from_job"), "from_job", "left_semi").join(nodes.withColumnRenamed("id", "to_job"), "to_job", "left_semi")
+    edges = materialize(spark, known)
+    into = edges.groupBy(F.col("to_job").alias("id")).agg(F.count("*").alias("n"))
+    left, n = counted(spark, nodes.join(into, "id", "left").withColumn("n", F.coalesce("n", F.lit(0))))
+    found, level = None, 0
     while n:
-        level += 1
-        if level > most:
+        frontier, peeled = counted(spark, left.where("n = 0").select("id", F.lit(level).alias("level")))
+        if not peeled:
             raise CycleError("the graph has a cycle")
-        frontier, n = counted(spark, frontier.select(F.col("id").alias("from_job")).join(edges, "from_job").select(F.col("to_job").alias("id")).distinct().withColumn("level", F.lit(level)))
-        found = found.unionByName(frontier)
-    out, placed = counted(spark, found.groupBy("id").agg(F.max("level").alias("level")))
-    if placed < most:
-        raise CycleError("the graph has a cycle that no root leads to")
-    return out
+        met = frontier.select(F.col("id").alias("from_job")).join(edges, "from_job").groupBy(F.col("to_job").alias("id")).agg(F.count("*").alias("met"))
+        after, n = counted(spark, left.where("n > 0").join(met, "id", "left").select("id", (F.col("n") - F.coalesce("met", F.lit(0))).alias("n")))
+        discard(spark, left)
+        left, level = after, level + 1
+        found = frontier if found is None else found.unionByName(frontier)
+        if level % COMPACT == 0:
+            found = materialize(spark, found)
+    return found if found is not None else nodes.withColumn("level", F.lit(0))
 
 
 def critical_path(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(position, id): a longest path from its root; among equals the smallest id, going back from the end."""
-    placed = materialize(spark, levels(spark, nodes, edges))
-    a, b = placed.select(F.col("id").alias("from_job"), F.col("level").alias("l")), placed.select(F.col("id").alias("to_job"), "level")
-    before = materialize(spark, edges.join(a, "from_job").join(b, "to_job").where("l = level - 1").groupBy(F.col("to_job").alias("id")).agg(F.min("from_job").alias("previous")))
-    last = placed.orderBy(F.desc("level"), "id").limit(1).collect()
+    near, mine = held(edges, "from_job", "to_job"), held(nodes, "id")
+    if near is None or mine is None:
+        return critical_path_spread(spark, nodes, edges)
+    below = successors(near)
+    level = placed({i for (i,) in mine}, below)
+    before: dict = {}
+    for f, ts in below.items():
+        for t in ts:
+            if f in level and t in level and level[f] == level[t] - 1:
+                before[t] = min(f, before.get(t, f))
     path = []
-    if last:
-        at, level = last[0]
-        path = [(level, at)]
-        while level > 0:  # one lookup for each step of the path
-            at, level = before.where(F.col("id") == at).first()["previous"], level - 1
-            path.append((level, at))
-    return spark.createDataFrame(sorted(path), "position int, id long")
+    if level:
+        at = min(level, key=lambda i: (-level[i], i))
+        while at is not None:
+            path.append((level[at], at))
+            at = before.get(at)
+    return framed(spark, nodes, "id", ["position", "id"], sorted(path))
+
+
+def critical_path_spread(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """:func:`critical_path` by pointer doubling: as many rounds as the path's length has binary digits."""
+    placed_ = materialize(spark, levels_spread(spark, nodes, edges))
+    a, b = placed_.select(F.col("id").alias("from_job"), F.col("level").alias("l")), placed_.select(F.col("id").alias("to_job"), "level")
+    jump = materialize(spark, edges.join(a, "from_job").join(b, "to_job").where("l = level - 1").groupBy(F.col("to_job").alias("id")).agg(F.min("from_job").alias("up")))
+    jumps = [jump]
+    last = placed_.orderBy(F.desc("level"), "id").limit(1)
+    for _ in range((placed_.agg(F.max("level")).first()[0] or 0).bit_length() - 1):
+        jump = materialize(spark, jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("further")), "up").select("id", F.col("further").alias("up")))
+        jumps.append(jump)
+    path = materialize(spark, last.select("id"))
+    for jump in reversed(jumps):
+        path = materialize(spark, path.unionByName(path.join(jump, "id").select(F.col("up").alias("id"))).distinct())
+    return path.join(placed_, "id").select(F.col("level").alias("position"), "id")
 
 
 def ready(jobs: DataFrame, edges: DataFrame, satisfied: list[str]) -> DataFrame:
@@ -95,7 +205,7 @@ def ready(jobs: DataFrame, edges: DataFrame, satisfied: list[str]) -> DataFrame:
 
 def bridged(spark: SparkSession, edges: DataFrame, skipped: DataFrame) -> DataFrame:
     """Edges between jobs that aren't skipped, where chains of skipped jobs count as one edge."""
-    gone = materialize(spark, skipped.select("id").distinct())
+    gone, edges = materialize(spark, skipped.select("id").distinct()), materialize(spark, edges.select("from_job", "to_job"))
     live = edges.join(gone.withColumnRenamed("id", "from_job"), "from_job", "left_anti")
     frontier = materialize(spark, live.select("from_job", "to_job").distinct())
     done, seen = None, frontier
@@ -112,16 +222,52 @@ def bridged(spark: SparkSession, edges: DataFrame, skipped: DataFrame) -> DataFr
 
 def in_cycles(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """Nodes that stay when roots and leaves are peeled off again and again: those on cycles or between two."""
+    near = held(edges, "from_job", "to_job")
+    if near is not None:
+        below, above = successors(near), successors([(t, f) for f, t in near])
+        stay = _peeled(_peeled(below.keys() | above.keys(), above, below), below, above)
+        return framed(spark, edges, "from_job", ["id"], ((i,) for i in stay))
     left, n = counted(spark, edges.select("from_job", "to_job").distinct())
     while n:
         inner = left.join(left.select(F.col("to_job").alias("from_job")).distinct(), "from_job", "left_semi").join(left.select(F.col("from_job").alias("to_job")).distinct(), "to_job", "left_semi")
         kept, m = counted(spark, inner.select("from_job", "to_job"))
         if m == n:
             break
+        discard(spark, left)
         left, n = kept, m
     return left.select(F.explode(F.array("from_job", "to_job")).alias("id")).distinct()
 
 
+def _peeled(nodes: Iterable, into: dict, out: dict) -> set:
+    """``nodes`` without those that, again and again, have nothing in ``into``."""
+    stay = set(nodes)
+    left = {i: sum(u in stay for u in into.get(i, ())) for i in stay}
+    todo = [i for i, n in left.items() if not n]
+    while todo:
+        one = todo.pop()
+        stay.discard(one)
+        for t in out.get(one, ()):
+            if t in stay:
+                left[t] -= 1
+                if not left[t]:
+                    todo.append(t)
+    return stay
+
+
+def gated(jobs: DataFrame, gates: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(id, gates) of the pending ``jobs`` (id, status) that wait for a gate: those with a block (gate, id) of a gate
+    (gate, status) that isn't approved; a gate that isn't known blocks too."""
+    shut = blocks.join(gates.where("status = 'approved'").select("gate"), "gate", "left_anti")
+    waiting = shut.join(jobs.where("status = 'pending'").select("id"), "id", "left_semi")
+    return waiting.groupBy("id").agg(F.array_sort(F.collect_set("gate")).alias("gates"))
+
+
+def invalidate_cascade(spark: SparkSession, outputs: DataFrame, inputs: DataFrame, rules: DataFrame) -> DataFrame:
+    """(id) of ``rules`` (id) and all rules that take in, by the same pattern text, what one of them puts out, directly or
+    not: what an invalidation that cascades forgets."""
+    return with_seeds(rdeps(spark, linked(outputs, inputs), rules), rules)
+
+
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes without an edge."""
     return nodes.select("id").join(edges.select(F.explode(F.array("from_job", "to_job")).alias("id")), "id", "left_anti")

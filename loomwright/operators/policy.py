@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,13 +64,50 @@ def admitted(jobs: DataFrame, capacity: dict[str, float], pool: str = "pool") ->
     return rows.groupBy("pool").applyInPandas(run, "pool string, id long, admitted boolean")
 
 
+def needs_of(resources: dict[str, str]) -> dict[str, float]:
+    """What a job needs, as numbers; what can't be read as one isn't limited."""
+    out = {}
+    for name, text in resources.items():
+        m = re.fullmatch(r"\s*(\d+(?:\.\d+)?)\s*([KMGT]?)i?B?\s*", text, re.I)
+        if m:
+            out[name] = float(m[1]) * {"": 1, "K": 1e3, "M": 1e6, "G": 1e9, "T": 1e12}[m[2].upper()]
+    return out
+
+
+def fits(needs: dict[str, float], running: list[dict[str, float]], capacity: dict[str, float]) -> bool:
+    """Whether a job can start beside those that are running; resources without a capacity aren't limited."""
+    return all(sum(r.get(k, 0.0) for r in running) + v <= capacity[k] for k, v in needs.items() if k in capacity)
+
+
 def eviction(copies: DataFrame, budget: int, pool: str) -> DataFrame:
-    """Which in-memory copies go, largest first, until a pool is within ``budget`` bytes.  Only those that nobody reads
-    (consumers = 0) or that a disk copy backs may go."""
-    may = (F.col("consumers") == 0) | F.col("on_disk")
-    held = copies.withColumn("held", F.sum("size").over(Window.partitionBy(pool)))
+    """Which in-memory copies go, largest first, until a pool is within ``budget`` bytes.  One may go if nobody will read
+    it any more (consumers = 0), it isn't pinned, and a copy on disk stays: the only copy of an output never goes.
+    ``copies``: pool, ref, size, consumers, in_memory, on_disk, pinned."""
+    held = copies.where("in_memory").withColumn("held", F.sum("size").over(Window.partitionBy(pool)))
+    may = held.where("consumers = 0 and on_disk and not pinned")
     before = F.coalesce(F.sum("size").over(Window.partitionBy(pool).orderBy(F.desc("size"), "ref").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return held.where(may).withColumn("freed", before).where(F.col("held") - F.col("freed") > budget).select(pool, "ref", "size")
+    return may.withColumn("freed", before).where(F.col("held") - F.col("freed") > budget).select(pool, "ref", "size")
+
+
+def tracked(copies: DataFrame, consumers: DataFrame) -> DataFrame:
+    """``copies`` (ref, kind, size, pinned) by artifact: how many consumers (ref, done) still wait for it, where it is,
+    and whether its copy in memory may go."""
+    waiting = consumers.groupBy("ref").agg(F.count_if(~F.col("done")).alias("consumers"))
+    kinds = {k: F.bool_or(F.col("kind") == k) for k in COPY_COST}
+    by = copies.groupBy("ref").agg(F.max("size").alias("size"), F.bool_or("pinned").alias("pinned"), kinds["memory"].alias("in_memory"), kinds["disk"].alias("on_disk"))
+    rows = by.join(waiting, "ref", "left").withColumn("consumers", F.coalesce("consumers", F.lit(0)))
+    return rows.withColumn("evictable", F.expr("in_memory and on_disk and not pinned and consumers = 0"))
+
+
+def memory_stats(tracked_: DataFrame) -> DataFrame:
+    """One row over :func:`tracked`: artifacts and bytes in memory, and what of these may go."""
+    inside, may = F.col("in_memory"), F.col("evictable")
+    return tracked_.agg(
+        F.count_if(inside).alias("in_memory"),
+        F.coalesce(F.sum(F.when(inside, F.col("size"))), F.lit(0)).alias("bytes"),
+        F.count_if(may).alias("evictable"),
+        F.coalesce(F.sum(F.when(may, F.col("size"))), F.lit(0)).alias("evictable_bytes"),
+    )
 
 
 def cheapest_copy(copies: DataFrame) -> DataFrame:
@@ -88,14 +127,29 @@ def root_causes(failures: DataFrame, part: list[str], order: list[str], line: st
     return found.withColumn("_first", F.row_number().over(w)).where("_first = 1").drop("_n", "_low", "_high", "_first")
 
 
-def array_index(jobs: DataFrame) -> DataFrame:
-    """Jobs of a rule as one array: each with its index from 0 by id."""
-    return jobs.withColumn("array_index", F.row_number().over(Window.partitionBy("rule_name").orderBy("id")) - 1)
+def array_index(jobs: DataFrame, width: int = 100_000) -> DataFrame:
+    """Jobs of a rule as one array: each with its index from 0 by id.  Indexes are counted within ranges of ``width`` ids
+    and shifted by the ranges before, so a rule with most of the jobs isn't one task."""
+    rows = jobs.withColumn("_range", F.floor(F.col("id") / width))
+    held = rows.groupBy("rule_name", "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("rule_name").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    shift = held.select(F.col("rule_name").alias("_rule"), F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    own = F.row_number().over(Window.partitionBy("rule_name", "_range").orderBy("id"))
+    joined = rows.withColumn("_own", own).join(shift, F.col("rule_name").eqNullSafe(F.col("_rule")) & F.col("_range").eqNullSafe(F.col("_of")))
+    return joined.withColumn("array_index", (F.col("_shift") + F.col("_own") - 1).cast("int")).drop("_range", "_own", "_rule", "_of", "_shift")
+
+
+def cluster_totals(nodes: DataFrame) -> DataFrame:
+    """One row over the nodes of a cluster (state, total, available: maps of resource to amount): nodes that are alive and
+    those that are pending, and CPUs, GPUs and memory of the nodes that are alive, in all and available."""
+    alive = F.col("state") == "ALIVE"
+    sums = [F.coalesce(F.sum(F.when(alive, F.coalesce(F.try_element_at(F.col(side), F.lit(key)), F.lit(0.0)))), F.lit(0.0)).alias(f"{side}_{name}") for key, name in (("CPU", "cpus"), ("GPU", "gpus"), ("memory", "memory")) for side in ("total", "available")]
+    return nodes.agg(F.count_if(alive).alias("alive_nodes"), F.count_if(F.col("state") == "PENDING").alias("pending_nodes"), *sums)
 
 
 def resource_totals(nodes: DataFrame) -> DataFrame:
-    """Sum of each resource over nodes (a map column)."""
-    return nodes.select(F.explode("resources").alias("resource", "amount")).groupBy("resource").agg(F.sum("amount").alias("amount"))
+    """Sum of each resource over the nodes that are alive (state, resources: a map)."""
+    return nodes.where("state = 'ALIVE'").select(F.explode("resources").alias("resource", "amount")).groupBy("resource").agg(F.sum("amount").alias("amount"))
 
 
 def resumable(jobs: DataFrame, edges: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,38 @@ def summary(changes: DataFrame) -> DataFrame:
     return changes.agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("added", "removed", "changed", "unchanged")])
 
 
+SNAPSHOT = "snapshot_name string, created_at double, job_id string, rule string, status string, output_hashes string"
+
+
+def create(jobs: DataFrame, folder: str, name: str, at: float) -> None:
+    """Keeps the state of ``jobs`` (job_id, rule, status, output_hashes) under a name; an older one of the name goes.  One
+    without jobs is kept too."""
+    spark = jobs.sparkSession
+    rows = jobs.select(F.lit(name).alias("snapshot_name"), F.lit(at).alias("created_at"), *[F.col(c).cast("string") for c in ("job_id", "rule", "status", "output_hashes")])
+    mark = spark.createDataFrame([(name, at, None, None, None, None)], SNAPSHOT)
+    rows.unionByName(mark).write.mode("overwrite").parquet(f"{folder}/{_coded(name)}")
+
+
+def delete(spark: SparkSession, folder: str, name: str) -> bool:
+    """Forgets a snapshot; whether there was one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{_coded(name)}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def kept(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(name, created_at) of all snapshots, and the jobs of all."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = fs.exists(path) and len(fs.listStatus(path)) > 0
+    rows = spark.read.schema(SNAPSHOT).option("recursiveFileLookup", "true").parquet(folder) if there else spark.createDataFrame([], SNAPSHOT)
+    return rows.groupBy(F.col("snapshot_name").alias("name")).agg(F.max("created_at").alias("created_at")), rows.where("job_id is not null")
+
+
+def _coded(name: str) -> str:
+    """A folder name for any snapshot name."""
+    return "s-" + "".join(c if c.isascii() and c.isalnum() else f"%{ord(c):x}." for c in name)
+
+
 def listing(snapshots: DataFrame, jobs: DataFrame) -> DataFrame:
     """Snapshots with their number of jobs, 0 for an empty one."""
     n = jobs.groupBy(F.col("snapshot_name").alias("name")).agg(F.count("*").alias("jobs"))
@@ -29,7 +61,7 @@ def listing(snapshots: DataFrame, jobs: DataFrame) -> DataFrame:
 
 def ids(a: DataFrame, b: DataFrame) -> DataFrame:
     """All job ids of two snapshots."""
-    return a.select("job_id").union(b.select("job_id")).distinct()
+    return a.select("job_id").union(b.select("job_id")).distinct().orderBy("job_id")
 
 
 def drift(locked_rules: DataFrame, rules: DataFrame, locked_inputs: DataFrame, inputs: DataFrame) -> DataFrame:
@@ -53,7 +85,7 @@ def header_drift(locked: dict[str, str], current: dict[str, str]) -> list[tuple[
     """Differences of the workflow's own hash and of the platform."""
     out = []
     if locked.get("workflow_hash") != current.get("workflow_hash"):
-        out.append(("workflow_changed", str(locked.get("workflow_hash"))[:16]))
+        out.append(("workflow_changed", str(locked.get("workflow_hash"))))
     if (locked.get("os"), locked.get("arch")) != (current.get("os"), current.get("arch")):
         out.append(("platform_changed", f"{locked.get('os')}/{locked.get('arch')}"))
     return out

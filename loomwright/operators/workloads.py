@@ -96,12 +96,16 @@ def rolling_variance(rows: DataFrame, part: list[str], order: list[str], value:
     return rows.withColumn("variance", F.round((square - total * total / span) / (span - 1), digits)).where(F.col("n") >= span).drop("d")
 
 
+def _beside(rows: DataFrame, part: str, sums: DataFrame) -> DataFrame:
+    """``rows`` with the values of their part; sums are small, so they travel and the rows stay where they are."""
+    return rows.join(sums.withColumnRenamed(part, "_part"), F.col(part).eqNullSafe(F.col("_part")), "left").drop("_part")
+
+
 def centred_weights(rows: DataFrame, part: str, value: str) -> DataFrame:
     """Values less their part's mean, scaled so that absolute values sum to 1 (0 where all are equal)."""
-    w = Window.partitionBy(part)
-    rows = rows.withColumn("centred", F.col(value) - F.avg(value).over(w))
-    gross = F.sum(F.abs("centred")).over(w)
-    return rows.withColumn("weight", F.when(gross > 1e-12, F.round(F.col("centred") / gross, 6)).otherwise(0.0)).drop("centred")
+    centred = _beside(rows, part, rows.groupBy(part).agg(F.avg(value).alias("_mean"))).withColumn("centred", F.col(value) - F.col("_mean"))
+    whole = _beside(centred, part, centred.groupBy(part).agg(F.sum(F.abs("centred")).alias("_gross")))
+    return whole.withColumn("weight", F.when(F.col("_gross") > 1e-12, F.round(F.col("centred") / F.col("_gross"), 6)).otherwise(0.0)).drop("centred", "_mean", "_gross")
 
 
 def running_total(rows: DataFrame, part: list[str], order: list[str], value: str) -> DataFrame:
@@ -110,11 +114,11 @@ def running_total(rows: DataFrame, part: list[str], order: list[str], value: str
 
 
 def mean_scaled(rows: DataFrame, part: str, order: list[str], value: str) -> DataFrame:
-    """Values over their part's mean.  The first row counts in the mean and isn't given out, as in the workflow that
-    this is from."""
-    w = Window.partitionBy(part)
-    rows = rows.withColumn("scaled", F.round(F.col(value) / F.avg(value).over(w), 6)).withColumn("n", F.row_number().over(w.orderBy(*order)))
-    return rows.where("n > 1").drop("n")
+    """Values over their part's mean.  The first row by ``order`` (of equal ones all) counts in the mean and isn't given
+    out, as in the workflow that this is from."""
+    first = F.min(F.struct(*order)).alias("_first")
+    both = _beside(rows, part, rows.groupBy(part).agg(F.avg(value).alias("_mean"), first))
+    return both.where(F.struct(*order) > F.col("_first")).withColumn("scaled", F.round(F.col(value) / F.col("_mean"), 6)).drop("_mean", "_first")
 
 
 def count_matrix(rows: DataFrame, feature: str, sample: str, count: str, samples: list) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,18 @@ from loomwright.functions.parsing import format_elapsed
 from loomwright.sources import codecs
 
 
+class OutsideError(ValueError):
+    """A path that leads out of the folder that it has to stay in."""
+
+
+def confined(root: str, path: str) -> str:
+    """``root/path``; a path that is absolute, has a scheme, or leads out of ``root`` is an error."""
+    clean = posixpath.normpath(path)
+    if not path or path.startswith("/") or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path) or clean == ".." or clean.startswith("../"):
+        raise OutsideError(f"{path!r} isn't inside {root}")
+    return f"{root.rstrip('/')}/{clean}"
+
+
 def commit(df: DataFrame, path: str, hint: str | None = None) -> None:
     """Writes beside ``path`` and moves into place, so that no reader sees half an output.  The old output is moved
     aside first and goes last, so a failure between the two renames loses nothing."""
@@ -56,14 +70,44 @@ def read_lock(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.schema("name string, execution_hash string, params_hash string").json(f"{path}/rules"), spark.read.schema("path string, hash string").json(f"{path}/inputs")
 
 
+class ArtifactError(ValueError):
+    """A stored output that isn't as it was stored."""
+
+
+def fingerprint(df: DataFrame) -> tuple[int, str]:
+    """Rows and a sum of their hashes, in any order and any partitions."""
+    row = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
+    n, total = df.agg(F.count(F.lit(1)), F.sum(row.cast("decimal(38,0)"))).first()
+    return n, str(total)
+
+
 def store_artifact(df: DataFrame, root: str, key: str) -> str:
-    """An output in a shared cache folder under its key; the first one stored stays."""
-    path = f"{root}/{key[:2]}/{key}"
-    df.write.mode("ignore").parquet(path)
+    """An output in a shared cache folder under its key, with its fingerprint beside it; the first one stored stays."""
+    spark, path = df.sparkSession, f"{root}/{key[:2]}/{key}"
+    if fetch_artifact(spark, root, key) is None:
+        df.write.mode("overwrite").parquet(f"{path}/data")
+        held = [fingerprint(spark.read.parquet(f"{path}/data"))]
+        spark.createDataFrame(held, "n long, total string").coalesce(1).write.mode("overwrite").json(f"{path}/print")  # last: marks it whole
     return path
 
 
 def fetch_artifact(spark: SparkSession, root: str, key: str) -> DataFrame | None:
-    """The output of a key, or None where the cache has none."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{key[:2]}/{key}/_SUCCESS")
-    return spark.read.parquet(f"{root}/{key[:2]}/{key}") if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else None
+    """The output of a key, or None where the cache has none.  Its rows are counted and hashed again before it is given
+    out; one that was changed or damaged is an error."""
+    path = f"{root}/{key[:2]}/{key}"
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/print/_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        return None
+    wanted = tuple(spark.read.schema("n long, total string").json(f"{path}/print").first())
+    out = spark.read.parquet(f"{path}/data")
+    if fingerprint(out) != wanted:
+        raise ArtifactError(f"{path} isn't as it was stored")
+    return out
+
+
+def sse_frames(events: DataFrame) -> DataFrame:
+    """Events as frames of a server-sent event stream: id, event and data lines and an empty one; null fields are left
+    out.  Works on batches and streams."""
+    body = F.to_json(F.struct(*[F.col(f"`{c}`") for c in events.columns]))
+    number = F.concat(F.lit("id: "), F.col("seq").cast("string"), F.lit("\n")) if "seq" in events.columns else F.lit("")
+    return events.select(F.concat(F.coalesce(number, F.lit("")), F.lit("event: "), F.col("event"), F.lit("\ndata: "), body, F.lit("\n\n")).alias("value"))

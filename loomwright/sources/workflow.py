@@ -51,15 +51,21 @@ class Rule:
     description: str = ""
     benchmark: str | None = None
     executor: str | None = None
+    shell: str | None = None
+    run: str | None = None
+    script: str | None = None
+    lang: str | None = None
+    env: str | dict | None = None
 
     def spec(self) -> RuleSpec:
         return RuleSpec(self.name, [i.pattern for i in self.inputs], [o.pattern for o in self.outputs], self.priority, self.constraints, self.expand, self.tags, self.when)
 
     @property
     def source(self) -> str:
-        """The text that stands for the rule's body in its cache key."""
-        if self.sql is not None:
-            return f"sql:{self.sql}"
+        """The text that stands for the rule's body, before a job's values are filled in."""
+        for kind in ("sql", "shell", "run", "script"):
+            if getattr(self, kind) is not None:
+                return f"{kind}:{self.lang or ''}:{getattr(self, kind)}" if kind in ("run", "script") else f"{kind}:{getattr(self, kind)}"
         params = ", ".join(f"{k}={kwarg_literal(v)}" for k, v in sorted(self.params.items()))
         return f"call:{self.call}({params})" if self.call else "none"
 
@@ -137,7 +143,7 @@ def refs_of(value) -> list[FileRef]:
 
 
 def rule_of(name: str, raw: dict) -> Rule:
-    if raw.get("sql") is not None and raw.get("call") is not None:
+    if sum(raw.get(kind) is not None for kind in ("sql", "call", "shell", "run", "script")) > 1:
         raise WorkflowError(f"rule {name} has more than one body")
     if raw.get("when") is not None:
         guards.check(raw["when"])
@@ -170,6 +176,11 @@ def rule_of(name: str, raw: dict) -> Rule:
         raw.get("description", ""),
         raw.get("benchmark"),
         raw.get("executor"),
+        raw.get("shell"),
+        raw.get("run"),
+        raw.get("script"),
+        raw.get("lang"),
+        raw.get("env"),
     )
 
 

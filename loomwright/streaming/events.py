@@ -5,6 +5,8 @@ The same transforms run on batches, so a replay and a live run agree."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,10 +48,13 @@ def parsed(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def follow(spark: SparkSession, folder: str, replay: bool = True, per_trigger: int | None = None) -> DataFrame:
-    """The log folder as a stream; without ``replay`` only files newer than the query's start count (by file age)."""
+    """The log folder as a stream; without ``replay`` only files that are written from now on count.  A file that turns
+    up late counts by its own time, so nothing that is written after the start is lost."""
     reader = spark.readStream.format("text").option("latestFirst", "false")
     reader = reader if per_trigger is None else reader.option("maxFilesPerTrigger", per_trigger)
-    reader = reader if replay else reader.option("maxFileAge", "1ms")
+    if not replay:
+        now = datetime.now(ZoneInfo(spark.conf.get("spark.sql.session.timeZone")))
+        reader = reader.option("modifiedAfter", now.strftime("%Y-%m-%dT%H:%M:%S"))
     return parsed(reader.load(folder))
 
 
