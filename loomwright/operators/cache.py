@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomwright.operators import graph
+from loomwright.session import materialize
 
 FORMAT = "loomwright-1"
 MODES = ("mtime", "mtime_hash", "content_hash")
@@ -116,7 +117,7 @@ def fresh_by_time(outputs: DataFrame, inputs: DataFrame) -> DataFrame:
 
 def stale(spark: SparkSession, found: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, reason) of all jobs to run: those that aren't hits with their own status, and all downstream of them."""
-    own = found.where("status <> 'hit'").select(F.col("job_id").alias("id"), F.col("status").alias("reason"))
+    own = materialize(spark, found.where("status <> 'hit'").select(F.col("job_id").alias("id"), F.col("status").alias("reason")))
     below = graph.rdeps(spark, edges, own).join(own, "id", "left_anti").select("id", F.lit("upstream").alias("reason"))
     return own.unionByName(below)
 

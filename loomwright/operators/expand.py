@@ -149,13 +149,34 @@ def resolved(rules: list[RuleSpec], config: dict) -> list[RuleSpec]:
 
 #: Levels of chaining after which rules are taken to feed each other without end.
 MOST_LEVELS = 1000
+#: Jobs up to which a table of targets is chained on the driver.
+LOCAL_JOBS = 100_000
 
 
 def chain(spark: SparkSession, rules: list[RuleSpec], config: dict, targets: DataFrame, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Backward chaining from ``targets`` (path): (jobs, needs, sources).
 
-    jobs: job_id, rule, wildcards, level; needs: job_id, place, path; sources: paths that exist and no rule makes.
-    A level of targets is one pass, and targets that were seen before don't come again."""
+    jobs: job_id, rule, wildcards, level; needs: job_id, place, at, path; sources: paths that exist and no rule makes.
+    Where targets and existing paths are few (counted) and no more than ``LOCAL_JOBS`` jobs come of them, they are chained
+    on the driver, else by :func:`chain_spread`; both give the same rows and errors."""
+    given, there = graph.held(targets, "path"), graph.held(existing, "path") if existing is not None else []
+    local = chain_local(rules, config, [p for (p,) in given], {p for (p,) in there}, most=LOCAL_JOBS) if given is not None and there is not None else None
+    if local is None:
+        return chain_spread(spark, rules, config, targets, existing)
+    found, outside = local
+    wanted = []
+    for job in found.values():
+        places: dict[int, int] = {}
+        for place, path in job.inputs:
+            wanted.append((job.id, place, places.setdefault(place, 0), path))
+            places[place] += 1
+    frame = spark.createDataFrame
+    jobs = frame([(j.id, j.rule, j.wildcards, j.level) for j in found.values()], "job_id string, rule string, wildcards map<string,string>, level int")
+    return jobs, frame(wanted, "job_id string, place int, at int, path string"), frame([(p,) for p in sorted(outside)], "path string")
+
+
+def chain_spread(spark: SparkSession, rules: list[RuleSpec], config: dict, targets: DataFrame, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """:func:`chain` over tables: a level of targets is one pass, and targets that were seen before don't come again."""
     rules = resolved(rules, config)
     by_name = {r.name: r for r in rules}
     empty_paths = spark.createDataFrame([], "path string")
@@ -303,8 +324,8 @@ class Producers:
         return found[best[0]]
 
 
-def chain_local(rules: list[RuleSpec], config: dict, targets: Iterable[str], existing: set[str], exists: Callable[[str], bool] | None = None) -> tuple[dict[str, Planned], set[str]]:
-    """Backward chaining as in :func:`chain`: jobs by id, and the paths that come from outside."""
+def chain_local(rules: list[RuleSpec], config: dict, targets: Iterable[str], existing: set[str], exists: Callable[[str], bool] | None = None, most: int | None = None) -> tuple[dict[str, Planned], set[str]] | None:
+    """Backward chaining on the driver: jobs by id, and the paths that come from outside; None for over ``most`` jobs."""
     rules = resolved(rules, config)
     producers_ = Producers(rules)
     plans: dict[str, list[tuple[int, list[patterns.Pattern]]]] = {}
@@ -340,6 +361,8 @@ def chain_local(rules: list[RuleSpec], config: dict, targets: Iterable[str], exi
             maker[path] = name
             if name in jobs:
                 continue
+            if most is not None and len(jobs) >= most:
+                return None
             if rule.when is not None and not guards.holds(rule.when, wildcards, config, exists=exists):
                 raise ExpandError(f"{path}: the guard of {rule.name} is false")
             inputs = []

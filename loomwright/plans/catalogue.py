@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.operators import workloads
-from loomwright.plans import q_engine, q_graph, q_ledger, q_streaming, q_workloads  # noqa: F401  they register their queries
+from loomwright.plans import q_engine, q_graph, q_ledger, q_session, q_streaming, q_workloads  # noqa: F401  they register their queries
 from loomwright.plans.registry import ORACLES, QUERIES, query
 from loomwright.session import table
 

@@ -245,18 +245,6 @@ def cache_mtime_stateless(spark: SparkSession, sf: str) -> DataFrame:
     return cache.fresh_by_time(outputs, p.where("p_partkey % 4 <> 0").select(k.alias("job_id"), (k % 50).alias("mtime")))
 
 
-@query(
-    f"""WITH {_CACHE.format('k % 3 <> 0 OR k % 13 <> 4')},
-o AS (SELECT job_id AS id, status AS reason FROM r WHERE status <> 'hit' AND job_id % 50 = 3), d AS (SELECT id FROM o UNION SELECT e.to_job FROM job_edges e JOIN d ON e.from_job = d.id)
-SELECT id, coalesce(reason, 'upstream') AS reason FROM d LEFT JOIN o USING (id)""",
-    ("job_edges",),
-    recursive=True,
-)
-def cache_stale_propagation(spark: SparkSession, sf: str) -> DataFrame:
-    found = cache.lookup(**_cache_tables(spark, sf), mode="mtime_hash").where("job_id % 50 = 3")
-    return cache.stale(spark, found, views.job_edges(spark, sf))
-
-
 @query(
     f"""WITH {_CACHE.format('k % 3 <> 0 OR k % 13 <> 4')},
 o AS (SELECT job_id AS id, status AS reason FROM r WHERE status <> 'hit'), d AS (SELECT id FROM o UNION SELECT e.to_job FROM job_edges e JOIN d ON e.from_job = d.id)
@@ -264,8 +252,8 @@ SELECT id, coalesce(reason, 'upstream') AS reason FROM d LEFT JOIN o USING (id)"
     ("job_edges",),
     recursive=True,
 )
-def cache_stale_all(spark: SparkSession, sf: str) -> DataFrame:
-    """All jobs that aren't hits are origins; ``cache_stale_propagation`` has those of one in fifty, as its SQL has."""
+def cache_stale_propagation(spark: SparkSession, sf: str) -> DataFrame:
+    """All jobs that aren't hits are origins, with their own status."""
     return cache.stale(spark, cache.lookup(**_cache_tables(spark, sf), mode="mtime_hash"), views.job_edges(spark, sf))
 
 
@@ -373,14 +361,42 @@ def budget_admission(spark: SparkSession, sf: str) -> DataFrame:
     return policy.admitted(jobs, {"cpu": 300.0})
 
 
+_COPIES = """c AS (SELECT p_brand, p_partkey AS ref, p_size AS size, p_partkey % 2 AS consumers, p_partkey % 5 <> 0 AS in_memory, p_partkey % 3 <> 0 AS on_disk, p_partkey % 7 = 0 AS pinned FROM part)"""
+
+
 @query(
-    """WITH c AS (SELECT p_brand, p_partkey AS ref, p_size AS size, p_partkey % 3 = 0 AS may, sum(p_size) OVER (PARTITION BY p_brand) AS held FROM part),
-m AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY p_brand ORDER BY size DESC, ref ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed FROM c WHERE may)
-SELECT p_brand, ref, size FROM m WHERE held - freed > 1500"""
+    f"""WITH {_COPIES}, m AS (SELECT *, sum(size) OVER (PARTITION BY p_brand) AS held FROM c WHERE in_memory),
+e AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY p_brand ORDER BY size DESC, ref ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed FROM m WHERE consumers = 0 AND on_disk AND NOT pinned)
+SELECT p_brand, ref, size FROM e WHERE held - freed > 800"""
 )
 def evict_largest_first(spark: SparkSession, sf: str) -> DataFrame:
-    copies = table(spark, sf, "part").select("p_brand", F.col("p_partkey").alias("ref"), F.col("p_size").alias("size"), (F.col("p_partkey") % 3).alias("consumers"), F.lit(False).alias("on_disk"))
-    return policy.eviction(copies, 1500, "p_brand")
+    k = F.col("p_partkey")
+    copies = table(spark, sf, "part").select("p_brand", k.alias("ref"), F.col("p_size").alias("size"), (k % 2).alias("consumers"), (k % 5 != 0).alias("in_memory"), (k % 3 != 0).alias("on_disk"), (k % 7 == 0).alias("pinned"))
+    return policy.eviction(copies, 800, "p_brand")
+
+
+_TRACKED = """k AS (SELECT l_orderkey AS ref, ['memory', 'object_store', 'disk'][l_linenumber % 3 + 1] AS kind, CAST(l_quantity AS BIGINT) AS size, l_suppkey % 11 = 0 AS pinned FROM lineitem),
+b AS (SELECT ref, max(size) AS size, bool_or(pinned) AS pinned, bool_or(kind = 'memory') AS in_memory, bool_or(kind = 'disk') AS on_disk FROM k GROUP BY ref),
+w AS (SELECT o_orderkey AS ref, count(*) FILTER (WHERE o_orderstatus <> 'O') AS consumers FROM orders WHERE o_orderkey % 4 <> 0 GROUP BY o_orderkey),
+t AS (SELECT b.*, coalesce(consumers, 0) AS consumers, in_memory AND on_disk AND NOT pinned AND coalesce(consumers, 0) = 0 AS evictable FROM b LEFT JOIN w USING (ref))"""
+
+
+def _tracked(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.element_at(F.array(F.lit("memory"), F.lit("object_store"), F.lit("disk")), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    copies = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("ref"), kind.alias("kind"), F.floor("l_quantity").cast("long").alias("size"), (F.col("l_suppkey") % 11 == 0).alias("pinned"))
+    readers = table(spark, sf, "orders").where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("ref"), (F.col("o_orderstatus") == "O").alias("done"))
+    return policy.tracked(copies, readers)
+
+
+@query(f"WITH {_TRACKED} SELECT ref, size, pinned, in_memory, on_disk, consumers, evictable FROM t")
+def materialization_state(spark: SparkSession, sf: str) -> DataFrame:
+    return _tracked(spark, sf)
+
+
+@query(f"""WITH {_TRACKED} SELECT count(*) FILTER (WHERE in_memory) AS in_memory, CAST(coalesce(sum(size) FILTER (WHERE in_memory), 0) AS BIGINT) AS bytes,
+  count(*) FILTER (WHERE evictable) AS evictable, CAST(coalesce(sum(size) FILTER (WHERE evictable), 0) AS BIGINT) AS evictable_bytes FROM t""")
+def memory_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return policy.memory_stats(_tracked(spark, sf))
 
 
 @query("WITH k AS (SELECT l_orderkey AS ref, ['memory', 'object_store', 'disk'][l_linenumber % 3 + 1] AS kind, [100, 1000, 200000][l_linenumber % 3 + 1] AS cost FROM lineitem) SELECT ref, arg_min(kind, cost) AS kind, min(cost) AS cost FROM k GROUP BY ref")
@@ -404,10 +420,30 @@ def job_arrays(spark: SparkSession, sf: str) -> DataFrame:
     return policy.array_index(views.jobs(spark, sf).select("id", "rule_name"))
 
 
-@query("SELECT resource, sum(amount) AS amount FROM (SELECT 'cpu' AS resource, CAST(s_nationkey AS DOUBLE) AS amount FROM supplier UNION ALL SELECT 'mem', CAST(s_suppkey AS DOUBLE) FROM supplier) GROUP BY resource")
+_NODES = """n AS (SELECT ['ALIVE', 'ALIVE', 'DEAD', 'PENDING'][s_suppkey % 4 + 1] AS state, CAST(s_nationkey AS DOUBLE) AS cpu, CASE WHEN s_suppkey % 5 = 0 THEN 2.0::DOUBLE END AS gpu,
+  CAST(s_suppkey AS DOUBLE) AS mem, CAST(s_nationkey % 3 AS DOUBLE) AS free FROM supplier)"""
+
+
+def _nodes(spark: SparkSession, sf: str) -> DataFrame:
+    k, n = F.col("s_suppkey"), F.col("s_nationkey").cast("double")
+    state = F.element_at(F.array(*[F.lit(x) for x in ("ALIVE", "ALIVE", "DEAD", "PENDING")]), (k % 4 + 1).cast("int"))
+    held = F.create_map(F.lit("CPU"), n, F.lit("memory"), k.cast("double"))
+    total = F.when(k % 5 == 0, F.map_concat(held, F.create_map(F.lit("GPU"), F.lit(2.0)))).otherwise(held)
+    return table(spark, sf, "supplier").select(state.alias("state"), total.alias("total"), F.create_map(F.lit("CPU"), (F.col("s_nationkey") % 3).cast("double")).alias("available"))
+
+
+@query(f"WITH {_NODES} SELECT resource, sum(amount) AS amount FROM (SELECT state, 'CPU' AS resource, cpu AS amount FROM n UNION ALL SELECT state, 'memory', mem FROM n UNION ALL SELECT state, 'GPU', gpu FROM n WHERE gpu IS NOT NULL) WHERE state = 'ALIVE' GROUP BY resource")
 def cluster_resources(spark: SparkSession, sf: str) -> DataFrame:
-    m = F.create_map(F.lit("cpu"), F.col("s_nationkey").cast("double"), F.lit("mem"), F.col("s_suppkey").cast("double"))
-    return policy.resource_totals(table(spark, sf, "supplier").select(m.alias("resources")))
+    return policy.resource_totals(_nodes(spark, sf).select("state", F.col("total").alias("resources")))
+
+
+@query(
+    f"""WITH {_NODES}, a AS (SELECT * FROM n WHERE state = 'ALIVE') SELECT (SELECT count(*) FROM a) AS alive_nodes, (SELECT count(*) FROM n WHERE state = 'PENDING') AS pending_nodes,
+  (SELECT coalesce(sum(cpu), 0) FROM a) AS total_cpus, (SELECT coalesce(sum(free), 0) FROM a) AS available_cpus, (SELECT coalesce(sum(gpu), 0) FROM a) AS total_gpus, 0.0::DOUBLE AS available_gpus,
+  (SELECT coalesce(sum(mem), 0) FROM a) AS total_memory, 0.0::DOUBLE AS available_memory"""
+)
+def cluster_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return policy.cluster_totals(_nodes(spark, sf))
 
 
 @query("SELECT id, coalesce(priority, 0) AS priority FROM (SELECT p_partkey AS id, CASE WHEN p_partkey % 4 <> 0 THEN p_size END AS priority FROM part) ORDER BY 2 DESC, 1")

@@ -85,17 +85,12 @@ def graph_skipped_bridge(spark: SparkSession, sf: str) -> DataFrame:
     return graph.bridged(spark, views.job_edges(spark, sf), views.job_nodes(spark, sf).where("id % 5 = 0"))
 
 
-@query("SELECT id FROM job_nodes WHERE id NOT IN (SELECT from_job FROM e UNION SELECT to_job FROM e)".replace("FROM e", "FROM (SELECT * FROM job_edges WHERE to_job % 3 = 0)"), ("job_edges", "job_nodes"))
-def graph_orphans(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.orphans(views.job_nodes(spark, sf), views.job_edges(spark, sf).where("to_job % 3 = 0"))
-
-
 @query(
     "WITH n AS (SELECT id FROM job_nodes UNION SELECT id FROM jobs) SELECT id FROM n WHERE id NOT IN (SELECT from_job FROM job_edges UNION SELECT to_job FROM job_edges)",
     ("job_edges", "job_nodes", "jobs"),
 )
-def graph_orphans_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Over all edges, with jobs as further nodes; ``graph_orphans`` has a third of the edges, as its SQL has."""
+def graph_orphans(spark: SparkSession, sf: str) -> DataFrame:
+    """Over all edges, with the ids of orders as further nodes, as every part has an edge."""
     nodes = views.job_nodes(spark, sf).unionByName(views.jobs(spark, sf).select("id")).distinct()
     return graph.orphans(nodes, views.job_edges(spark, sf))
 
@@ -136,11 +131,34 @@ def graph_sources(spark: SparkSession, sf: str) -> DataFrame:
     return graph.sources(_outputs(spark, sf), _inputs(spark, sf))
 
 
-@query("SELECT id FROM job_nodes WHERE false", ("job_nodes",))
+#: Nodes on a cycle (they reach themselves), and those that one cycle leads to and that lead to one.
+_CYCLES = """p AS (SELECT from_job AS f, to_job AS t FROM {0} UNION SELECT p.f, e.to_job FROM p JOIN {0} e ON e.from_job = p.t), c AS (SELECT DISTINCT f AS id FROM p WHERE f = t),
+x AS (SELECT id FROM c UNION SELECT a.t FROM p a JOIN c ON c.id = a.f WHERE a.t IN (SELECT b.f FROM p b JOIN c ON c.id = b.t))"""
+
+
+@query(f"WITH {_CYCLES.format('job_edges')} SELECT id FROM x", ("job_edges",), recursive=True)
 def graph_cycle_check(spark: SparkSession, sf: str) -> DataFrame:
     return graph.in_cycles(spark, views.job_edges(spark, sf))
 
 
+def _ring_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers in rings of ten, some rings open, with lines that lead into, out of and between them."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf, "supplier").select(k)
+    ring = s.where("s_suppkey % 10 <> 9 or s_suppkey % 3 <> 0").select(k.alias("from_job"), (k - k % 10 + (k + 1) % 10).alias("to_job"))
+    lines = s.where("s_suppkey % 10 = 4").select(k.alias("from_job"), (k + 13).alias("to_job"))
+    return ring.unionByName(lines)
+
+
+_RINGS = """r AS (SELECT s_suppkey AS from_job, s_suppkey - s_suppkey % 10 + (s_suppkey + 1) % 10 AS to_job FROM supplier WHERE s_suppkey % 10 <> 9 OR s_suppkey % 3 <> 0
+  UNION ALL SELECT s_suppkey, s_suppkey + 13 FROM supplier WHERE s_suppkey % 10 = 4)"""
+
+
+@query(f"WITH {_RINGS}, {_CYCLES.format('r')} SELECT id FROM x", recursive=True)
+def graph_cycle_rings(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.in_cycles(spark, _ring_edges(spark, sf))
+
+
 @query(
     """WITH e AS (SELECT n_regionkey * 100 AS f, n_nationkey AS t FROM nation UNION SELECT n_nationkey, n_regionkey * 100 FROM nation WHERE n_nationkey % 2 = 0),
 p AS (SELECT f, t FROM e UNION SELECT p.f, e.t FROM p JOIN e ON e.f = p.t) SELECT DISTINCT f AS id FROM p WHERE f = t""",
@@ -163,10 +181,34 @@ def graph_render_dot(spark: SparkSession, sf: str) -> DataFrame:
     return graph.rendered(table(spark, sf, "nation").select(F.col("n_regionkey").alias("from_job"), F.col("n_nationkey").alias("to_job")))
 
 
-@query("WITH g AS (SELECT id, floor((id + 1) / 2) AS half FROM job_nodes) SELECT e.from_job, e.to_job FROM job_edges e WHERE e.from_job % 4 = 1", ("job_nodes", "job_edges"))
+_GATES = """g AS (SELECT 'gate-' || n_nationkey AS gate, ['pending', 'approved', 'rejected'][n_nationkey % 3 + 1] AS status FROM nation WHERE n_nationkey < 20),
+b AS (SELECT o_orderkey AS id, 'gate-' || (o_custkey % 25) AS gate FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'gate-' || (o_orderkey % 4) FROM orders)"""
+
+
+@query(f"WITH {_GATES} SELECT b.id, list_sort(list(DISTINCT b.gate)) AS gates FROM b JOIN jobs j ON j.id = b.id AND j.status = 'pending' WHERE b.gate NOT IN (SELECT gate FROM g WHERE status = 'approved') GROUP BY b.id", ("jobs",))
 def graph_gate_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    gates = views.job_nodes(spark, sf).where("id % 4 = 1").select(F.col("id").alias("from_job"))
-    return views.job_edges(spark, sf).join(gates, "from_job").select("from_job", "to_job")
+    """Pending jobs behind gates that aren't approved; gates 20 to 24 aren't known."""
+    k, n, o = F.col("o_orderkey"), F.col("n_nationkey"), table(spark, sf, "orders")
+    status = F.element_at(F.array(F.lit("pending"), F.lit("approved"), F.lit("rejected")), (n % 3 + 1).cast("int"))
+    gates = table(spark, sf, "nation").where("n_nationkey < 20").select(F.concat(F.lit("gate-"), n.cast("string")).alias("gate"), status.alias("status"))
+    blocks = o.where("o_orderkey % 2 = 0").select(F.concat(F.lit("gate-"), (F.col("o_custkey") % 25).cast("string")).alias("gate"), k.alias("id"))
+    return graph.gated(views.jobs(spark, sf), gates, blocks.unionByName(o.select(F.concat(F.lit("gate-"), (k % 4).cast("string")).alias("gate"), k.alias("id"))))
+
+
+@query(f"WITH {_IO}, l AS (SELECT DISTINCT o.rule AS f, i.rule AS t FROM o JOIN i USING (ref) WHERE o.rule <> i.rule), d AS (SELECT t AS id FROM l WHERE f = 9 UNION SELECT l.t FROM l JOIN d ON l.f = d.id) SELECT id FROM d UNION SELECT 9", recursive=True)
+def invalidate_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    """The rules that an invalidation of rule 9 forgets, by equal pattern texts."""
+    return graph.invalidate_cascade(spark, _outputs(spark, sf), _inputs(spark, sf), _seed(spark, 9))
+
+
+@query("SELECT (SELECT count(*) FROM job_nodes) AS nodes, (SELECT count(*) FROM job_edges) AS edges, (SELECT count(*) FROM job_nodes WHERE id NOT IN (SELECT to_job FROM job_edges)) AS roots, (SELECT count(*) FROM job_nodes WHERE id NOT IN (SELECT from_job FROM job_edges)) AS leaves", ("job_nodes", "job_edges"))
+def graph_report(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = views.job_nodes(spark, sf), views.job_edges(spark, sf)
+    ends = [nodes.join(edges.select(F.col(side).alias("id")), "id", "left_anti").agg(F.count("*").alias(name)) for side, name in (("to_job", "roots"), ("from_job", "leaves"))]
+    out = graph.metrics(nodes, edges)
+    for one in ends:
+        out = out.withColumn("_k", F.lit(0)).join(F.broadcast(one.withColumn("_k", F.lit(0))), "_k").drop("_k")
+    return out
 
 
 _UNTIL = f"WITH {_UP.format(150)}"

@@ -167,27 +167,22 @@ class Session:
         wanted = self.targets or workflow.default_targets(self.workflow)
         return list(dict.fromkeys(p for text in wanted for p in expand.target_paths(text, self.workflow.config)))
 
-    def _listing(self) -> list:
-        """All files below the root: path, full_path, mtime, size."""
-        return files.discover(self.spark, self.root, depth=64, skipped=()).collect()
-
-    def _sources(self) -> dict[str, object]:
-        """Files that are there and aren't outputs of the workflow's rules, by path."""
+    def _sources(self) -> set[str]:
+        """Files, and folders that hold some, that are there and aren't outputs of the workflow's rules, by path."""
         specs = expand.resolved([r.spec() for r in self.workflow.rules], self.workflow.config)
         made = [patterns.compiled(patterns.parse_pattern(o), r.constraints, "(/.*)?").match for r in specs for o in r.outputs]
-        out = {}
-        for r in self._listing():
-            steps = r.path.split("/")
-            if len(steps) <= files.DEPTH + 1 and not set(steps[:-1]) & set(files.SKIPPED) and ".staged-" not in r.path and steps[0] != ".loom" and not any(m(r.path) for m in made):
-                out[r.path] = r
-        return out
+        out = set()
+        for (path,) in files.discover(self.spark, self.root, depth=64, skipped=()).select("path").toLocalIterator():
+            steps = path.split("/")
+            if len(steps) <= files.DEPTH + 1 and not set(steps[:-1]) & set(files.SKIPPED) and ".staged-" not in path and steps[0] != ".loom":
+                out |= {"/".join(steps[:n]) for n in range(1, len(steps) + 1)}
+        return {p for p in out if not any(m(p) for m in made)}
 
     def graph(self) -> tuple[dict[str, Job], DataFrame]:
         """The jobs by id, and (from_job, to_job)."""
         if self._jobs is not None:
             return self._jobs, self._edges
-        self._files = self._sources()
-        found, _ = expand.chain_local([r.spec() for r in self.workflow.rules], self.workflow.config, self.target_paths(), set(self._files), lambda p: self._exists(f"{self.root}/{p}"))
+        found, _ = expand.chain_local([r.spec() for r in self.workflow.rules], self.workflow.config, self.target_paths(), self._sources(), lambda p: self._exists(f"{self.root}/{p}"))
         makers = {p: j.id for j in found.values() for p in j.outputs}
         by: dict[str, Job] = {}
         for j in found.values():
@@ -208,18 +203,18 @@ class Session:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
     def _source_hashes(self, paths: set[str]) -> dict[str, str]:
-        """Content hashes of files from outside; only files that the memo doesn't know are read."""
-        wanted = [(r.path, r.full_path, r.mtime, r.size) for p, r in self._files.items() if p in paths]
-        if not wanted:
+        """Content hashes of files (or folders as one) from outside; only those that the memo doesn't know are read."""
+        if not paths:
             return {}
-        memo = self._table("memo", MEMO)
-        now = self.spark.createDataFrame(wanted, "path string, full_path string, mtime long, size long")
-        _, unknown = cache.memoised(now, memo.dropDuplicates(["path", "mtime", "size"]))
-        if not unknown.isEmpty():
-            files.with_hashes(self.spark, unknown, self.root).select("path", "mtime", "size", "hash").write.mode("append").parquet(f"{self.state}/memo")
-            memo = self._table("memo", MEMO)
-        known, _ = cache.memoised(now, memo.dropDuplicates(["path", "mtime", "size"]))
-        return {r.path: r.hash for r in known.select("path", "hash").collect()}  # as many as the plan's jobs take in
+        memo = self._table("memo", MEMO).dropDuplicates(["path", "mtime", "size"])
+        now = self._outputs_now(sorted(paths), False).drop("hash")
+        _, unknown = cache.memoised(now, memo)
+        unknown = [r.path for r in unknown.select("path").collect()]  # as many as the plan's jobs take in
+        if unknown:
+            self._outputs_now(unknown, True).select("path", "mtime", "size", "hash").write.mode("append").parquet(f"{self.state}/memo")
+            memo = self._table("memo", MEMO).dropDuplicates(["path", "mtime", "size"])
+        known, _ = cache.memoised(now, memo)
+        return {r.path: r.hash for r in known.select("path", "hash").collect()}
 
     def _values(self, job: Job) -> dict[str, str]:
         """A job's parameters, with wildcards and config filled in."""
@@ -231,7 +226,9 @@ class Session:
         scalars = {k: v for k, v in self.workflow.config.items() if isinstance(v, str)}
         pairs = [[(n, p) for n, p, _ in job.inputs], [(ref.name, p) for (p, _), ref in zip(job.outputs, job.rule.outputs, strict=True)]]
         wildcards = {k: v.replace("'", "''") for k, v in job.wildcards.items()} if quoted else job.wildcards
-        return patterns.command(text, *([[], []] if quoted else pairs), wildcards, self._values(job), None if quoted else scalars, job.rule.resources)
+        if quoted:  # SQL: {input} and named inputs are frames, and stay
+            return patterns.command(text.replace("{input}", "{\0}"), [], [], wildcards, self._values(job)).replace("{\0}", "{input}")
+        return patterns.command(text, *pairs, wildcards, self._values(job), scalars, job.rule.resources)
 
     def _content(self, path: str) -> bytes | None:
         """A small file of the project (a script, an environment's specification)."""
@@ -253,12 +250,13 @@ class Session:
     def _outputs_now(self, paths: list[str], hashes: bool) -> DataFrame:
         """path, hash, mtime, size of the outputs that are there (files, or folders as one); a hash only where asked for."""
         wanted = self.spark.createDataFrame([(p,) for p in paths], "path string")
-        listed = files.discover(self.spark, self.root, depth=64, skipped=())
+        there = [p for p in paths if self._exists(f"{self.root}/{p}")]
+        listed = files.discover(self.spark, self.root, depth=64, skipped=(), only=there)
         steps = F.split("path", "/")
         above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))
         parts = listed.select(F.explode(above).alias("path"), "full_path", "mtime", "size").join(F.broadcast(wanted), "path")
         if hashes:
-            read = [f"{self.root}/{p}" for p in paths if self._exists(f"{self.root}/{p}")]
+            read = [f"{self.root}/{p}" for p in there]
             content = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(read) if read else self.spark.createDataFrame([], "path string, content binary")
             parts = parts.join(content.select(F.col("path").alias("full_path"), F.sha2("content", 256).alias("own")), "full_path", "left")
         else:

@@ -11,9 +11,13 @@ from loomwright.operators import cache
 SKIPPED, DEPTH = ("target", "node_modules"), 5
 
 
-def discover(spark: SparkSession, folder: str, depth: int = DEPTH, skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
-    """(path relative to the folder, full_path, mtime in ns, size) of the files below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "modificationTime", "length")
+def discover(spark: SparkSession, folder: str, depth: int = DEPTH, skipped: tuple[str, ...] = SKIPPED, only: list[str] | None = None) -> DataFrame:
+    """(path relative to the folder, full_path, mtime in ns, size) of the files below a folder, or below the given files
+    and folders in it: others aren't listed, so they may come and go meanwhile."""
+    wanted = [folder] if only is None else [f"{folder}/{p}" for p in only]
+    if not wanted:
+        return spark.createDataFrame([], "path string, full_path string, mtime long, size long")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(wanted).select("path", "modificationTime", "length")
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)
     root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
     inside = F.regexp_replace(F.regexp_replace(F.col("path"), "^[a-z0-9]+:(//[^/]*)?", ""), f"^\\Q{root}\\E/", "")

@@ -5,8 +5,7 @@ The same transforms run on batches, so a replay and a live run agree."""
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
-from zoneinfo import ZoneInfo
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,10 +51,10 @@ def follow(spark: SparkSession, folder: str, replay: bool = True, per_trigger: i
     up late counts by its own time, so nothing that is written after the start is lost."""
     reader = spark.readStream.format("text").option("latestFirst", "false")
     reader = reader if per_trigger is None else reader.option("maxFilesPerTrigger", per_trigger)
+    lines = reader.load(folder)
     if not replay:
-        now = datetime.now(ZoneInfo(spark.conf.get("spark.sql.session.timeZone")))
-        reader = reader.option("modifiedAfter", now.strftime("%Y-%m-%dT%H:%M:%S"))
-    return parsed(reader.load(folder))
+        lines = lines.where(F.col("_metadata.file_modification_time") >= F.lit(datetime.now(timezone.utc)))
+    return parsed(lines)
 
 
 def matching(events: DataFrame, kinds: list[str] | None = None, tags: dict[str, str] | None = None) -> DataFrame:

@@ -47,13 +47,21 @@ def test_columns_agree_with_the_driver(spark):
     p = patterns.parse_pattern("{a}/{b}_{a}.csv")
     paths = ["x/y_x.csv", "x/y_z.csv", "x/y.csv", "", "q/1_q.csv", "x/y_x.csv\n"]
     rows = spark.createDataFrame([(s,) for s in paths], "path string").select("path", patterns.resolve(p, F.col("path")).alias("w"), patterns.interpolate(p, patterns.resolve(p, F.col("path"))).alias("back")).collect()
-    for r in rows[:-1]:
+    for r in rows:
         assert r.w == patterns.match(p, r.path) and r.back == (r.path if r.w else None)
     w = {"b": "1-2", "a": "x%y"}
     got = spark.range(1).select(patterns.job_id(F.lit("r"), F.create_map(*[F.lit(x) for kv in w.items() for x in kv]))).first()[0]
     assert got == patterns.job_id_of("r", w) == "r-x%25y-1%2D2"
 
 
+@pytest.mark.parametrize(("expression", "fits", "doesnt"), [("[(]x", "(x", "?x"), ("[^(]x", "ax", "(x"), ("(?P<n>a|b)c", "bc", "c"), ("(?<n>a)(b)?", "ab", "b"), (r"\(a\)", "(a)", "a"), ("[](]+", "](", "a")])
+def test_groups_of_constraints(spark, expression, fits, doesnt):
+    p = patterns.parse_pattern("{s}.{t}")
+    rows = spark.createDataFrame([(f"{x}.end",) for x in (fits, doesnt)], "path string").select("path", patterns.resolve(p, F.col("path"), {"s": expression}).alias("w")).collect()
+    for r, want in zip(rows, (fits, None), strict=True):
+        assert r.w == patterns.match(p, r.path, {"s": expression}) == ({"s": want, "t": "end"} if want else None)
+
+
 def test_command_goes_from_specific_to_bare():
     text = patterns.command("run {input.csv} {input[1]} {wildcards.s} {params.p} {config.c} {log} {threads} {resources.mem} > {output} {s} {input}", [("csv", "a.csv"), (None, "b.csv")], [("o", "o.txt")], {"s": "S"}, {"p": "P"}, {"c": "C"}, {"cpu": "4", "mem": "1G"}, "x.log")
     assert text == "run a.csv b.csv S P C x.log 4 1G > o.txt S a.csv b.csv"

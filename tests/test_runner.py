@@ -118,10 +118,12 @@ def test_driver_and_tables_agree(spark):
     there = {"raw/1", "raw/2", "fixed"}
     jobs, sources = expand.chain_local(rules, config, ["done"], there)
     frame = spark.createDataFrame([(p,) for p in there], "path string")
-    tables, needs, found = expand.chain(spark, rules, config, spark.createDataFrame([("done",)], "path string"), frame)
-    assert {(r.job_id, r.rule, r.level) for r in tables.collect()} == {(j.id, j.rule, j.level) for j in jobs.values()}
-    assert {(r.job_id, r.place, r.path) for r in needs.collect()} == {(j.id, n, p) for j in jobs.values() for n, p in j.inputs}
-    assert {r.path for r in found.collect()} == sources == there
+    both = [way(spark, rules, config, spark.createDataFrame([("done",)], "path string"), frame) for way in (expand.chain, expand.chain_spread)]
+    for tables, needs, found in both:
+        assert {(r.job_id, r.rule, r.level) for r in tables.collect()} == {(j.id, j.rule, j.level) for j in jobs.values()}
+        assert {(r.job_id, r.place, r.path) for r in needs.collect()} == {(j.id, n, p) for j in jobs.values() for n, p in j.inputs}
+        assert {r.path for r in found.collect()} == sources == there
+    assert sorted(map(str, both[0][1].collect())) == sorted(map(str, both[1][1].collect()))
     spec = [("j", "sql:é", "p", None, None, "spark"), ("k", "x", None, "", None, "spark"), ("l", "x", None, None, None, "spark")]
     inputs = [("j", "b", "2"), ("j", "a", "1"), ("k", "a", None)]
     keys = cache.cache_keys(spark.createDataFrame(spec, "job_id string, source string, params string, env string, shell string, platform string"), spark.createDataFrame(inputs, "job_id string, path string, hash string"))
@@ -139,3 +141,155 @@ def test_errors(rules, targets, message):
 
     with pytest.raises(expand.ExpandError, match=message):
         expand.chain_local([expand.RuleSpec(*r) for r in rules], {}, targets, set())
+
+
+TWO = """
+[config]
+least = "0"
+[rule.all]
+input = ["out/low.parquet", "out/high.parquet"]
+[rule.split]
+input = { raw = "raw.csv" }
+output = { low = "out/low.parquet", high = "out/high.parquet" }
+call = "split"
+[rule.note]
+output = ["note.txt"]
+shell = "echo {params.word} {config.least} > {output}"
+params = { word = "hello" }
+benchmark = "bench/note.tsv"
+[rule.inline]
+input = { raw = "raw.csv" }
+output = { out = "inline.json" }
+run = "import json; json.dump({'lines': len(open(input.raw).readlines()), 'k': params.k, 'w': str(output)}, open(output.out, 'w'))"
+params = { k = "v" }
+[rule.slow]
+output = ["slow.txt"]
+shell = "sleep 30; touch slow.txt"
+timeout = "1s"
+[rule.bad]
+output = ["bad.txt"]
+shell = "echo why >&2; exit 3"
+[rule.after]
+input = ["bad.txt"]
+output = ["after.txt"]
+shell = "cp {input} {output}"
+[rule.scripted]
+output = ["scripted.txt"]
+script = "make.sh"
+[gate.ok]
+after = ["split"]
+before = ["note"]
+"""
+
+
+@pytest.fixture
+def two(tmp_path):
+    (tmp_path / "flow.toml").write_text(TWO)
+    (tmp_path / "raw.csv").write_text("k,v\na,1\nb,5\nc,9\n")
+    (tmp_path / "make.sh").write_text("echo made > $1\n")
+    return str(tmp_path)
+
+
+def split(inputs, params, wildcards):
+    raw = inputs["raw"]
+    return {"low": raw.where("int(v) < 5"), "high": raw.where("int(v) >= 5")}
+
+
+def build(spark, root, *targets, **settings):
+    builder = Session.builder(f"{root}/flow.toml").targets(list(targets))
+    for k, v in settings.items():
+        builder.config_override(k, v)
+    return builder.build(spark)
+
+
+def test_outputs_get_their_own_frames_and_code_counts(spark, two):
+    assert build(spark, two).run({"split": split}).executed == ["split"]
+    assert [spark.read.parquet(f"{two}/out/{n}.parquet").count() for n in ("low", "high")] == [1, 2]
+    assert build(spark, two).run({"split": split}).executed == []
+
+    def other(inputs, params, wildcards):
+        return [inputs["raw"].limit(1), inputs["raw"].limit(3)]
+
+    assert [r.reason for r in build(spark, two)._settle(bodies={"split": other}).values()] == ["code changed"]
+    assert build(spark, two).run({"split": other}).executed == ["split"]
+    assert spark.read.parquet(f"{two}/out/high.parquet").count() == 3
+    failed = build(spark, two).run({"split": lambda i, p, w: i["raw"]})
+    assert failed.failed == ["split"] and "1 frames for 2 outputs" in build(spark, two).history().where("status = 'failed'").first().error
+
+
+def test_a_changed_parameter_or_output_runs_again(spark, root):
+    first = Session.builder(f"{root}/flow.toml").targets(["results/a.parquet"]).build(spark)
+    assert first.run().executed == ["clean-a"]
+    with open(f"{root}/flow.toml") as file:
+        text = file.read()
+    with open(f"{root}/flow.toml", "w") as file:
+        file.write(text.replace("least = 1", "least = 3"))
+    again = Session.builder(f"{root}/flow.toml").targets(["results/a.parquet"]).build(spark)
+    assert again.run().executed == ["clean-a"] and spark.read.parquet(f"{root}/results/a.parquet").count() == 1
+    spark.range(7).write.mode("overwrite").parquet(f"{root}/results/a.parquet")
+    tampered = Session.builder(f"{root}/flow.toml").targets(["results/a.parquet"]).build(spark)
+    assert [r.reason for r in tampered.plan().collect()] == ["output changed: results/a.parquet"] and tampered.heal() == 1
+    assert tampered.run().executed == ["clean-a"] and spark.read.parquet(f"{root}/results/a.parquet").count() == 1
+    for name in os.listdir(f"{root}/results/a.parquet"):  # other times, same content
+        os.utime(f"{root}/results/a.parquet/{name}", (time.time() + 90, time.time() + 90))
+    assert Session.builder(f"{root}/flow.toml").targets(["results/a.parquet"]).build(spark).run().executed == []
+    strict = Session.builder(f"{root}/flow.toml").targets(["results/a.parquet"]).validation("mtime").build(spark)
+    assert [r.reason for r in strict.plan().collect()] == ["output changed: results/a.parquet"]
+
+
+def test_programs_gates_and_benchmarks(spark, two):
+    seen = []
+    s = build(spark, two, "note.txt", "inline.json", "scripted.txt")
+    result = s.run(report=seen.append)
+    assert result.waiting == ["note"] and not result.ok and sorted(result.executed) == ["inline", "scripted"]
+    assert [(r.id, r.gates) for r in s.gates().collect()] == [("note", ["ok"])] and s.gate_status("ok") == "pending"
+    assert open(f"{two}/inline.json").read() == '{"lines": 4, "k": "v", "w": "inline.json"}' and open(f"{two}/scripted.txt").read() == "made\n"
+    s.approve("ok", "someone")
+    assert build(spark, two, "note.txt").run().executed == ["note"] and open(f"{two}/note.txt").read() == "hello 0\n"
+    assert spark.read.csv(f"{two}/bench/note.tsv", sep="\t", header=True).columns == ["s", "h:m:s", "max_rss", "cpu_time"]
+    assert build(spark, two, "note.txt", least="2").run().executed == ["note"] and open(f"{two}/note.txt").read() == "hello 2\n"
+    assert [e["event"] for e in seen][0] == "run_started" and seen[-1]["event"] == "run_completed"
+    closed = build(spark, two, "note.txt", least="3").run(gate=lambda name: False, wait_for_gates=0.4, sleep=lambda _: None)
+    assert closed.waiting == ["note"]
+
+
+def test_failures_stop_or_finish(spark, two):
+    result = build(spark, two, "slow.txt").run()
+    assert result.failed == ["slow"] and "timed out after 1 s" in build(spark, two).history().where("job_id = 'slow'").first().error
+    s = build(spark, two, "after.txt", "note.txt")
+    s.approve("ok")
+    s.workflow.rule("bad").priority = 5
+    result = s.run(parallel=1)
+    assert result.failed == ["bad"] and sorted(result.cancelled) == ["after", "note"]
+    assert s.history().where("job_id = 'bad'").first().error == "exit code 3: why"
+    s = build(spark, two, "after.txt", "note.txt")
+    s.workflow.rule("bad").on_error = "finish"
+    result = s.run(parallel=1)
+    assert result.failed == ["bad"] and result.cancelled == ["after"] and result.executed == ["note"]
+
+
+def test_budget_holds_jobs_back(spark, root):
+    s = session(spark, root)
+    s.workflow.rule("clean").resources = {"cpu": "2", "note": "many"}
+    now, most = set(), []
+    report = lambda e: (now.add(e["job_id"]), most.append(len(now))) if e["event"] == "job_started" else now.discard(e.get("job_id"))
+    assert s.run({"summary": summary}, parallel=8, budget={"cpu": 4}, report=report).ok and max(most) == 2
+    s = session(spark, root)
+    s.workflow.rule("clean").resources = {"cpu": "2"}
+    result = s.run({"summary": summary}, force=["clean"], budget={"cpu": 1})
+    assert result.waiting == ["clean-a", "clean-b", "clean-c", "summary"]
+
+
+def test_snapshots_and_cascade(spark, root):
+    s = session(spark, root)
+    s.snapshot("a b/c")
+    s.run({"summary": summary})
+    s = session(spark, root)
+    s.snapshot("after")
+    assert sorted((r.name, r.jobs) for r in s.snapshots().collect()) == [("a b/c", 4), ("after", 4)]
+    assert {r.change for r in s.compare("a b/c", "after").collect()} == {"changed"}
+    assert s.delete_snapshot("after") and not s.delete_snapshot("after") and s.snapshots().count() == 1
+    s.invalidate("clean", cascade=True)
+    assert len(session(spark, root).run({"summary": summary}).executed) == 4
+    s.invalidate("clean")
+    assert session(spark, root).plan().where("action = 'run'").count() == 4
