@@ -19,7 +19,7 @@ from loomwright.streaming import events
 _FLOW = """
 [config]
 region = [{regions}]
-least = "10"
+least = "3"
 [rule.all]
 input = ["out/report.parquet"]
 [rule.clean]
@@ -59,7 +59,7 @@ def _session(spark: SparkSession, root: str, flow: workflow.Workflow, **settings
 _NATIONS = "n AS (SELECT r_name AS region, n_name AS nation, count(*) AS suppliers FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL)"
 
 
-@query(f"WITH {_NATIONS} SELECT region, count(*) AS nations, CAST(sum(suppliers) AS BIGINT) AS suppliers FROM n WHERE suppliers >= 10 GROUP BY region")
+@query(f"WITH {_NATIONS} SELECT region, count(*) AS nations, CAST(sum(suppliers) AS BIGINT) AS suppliers FROM n WHERE suppliers >= 3 GROUP BY region")
 def session_report(spark: SparkSession, sf: str) -> DataFrame:
     """What a whole run writes: sources, keys, SQL bodies, formats and commits together."""
     root, flow = _project(spark, sf)
@@ -84,7 +84,7 @@ def session_reasons(spark: SparkSession, sf: str) -> DataFrame:
     plans = {"first": _session(spark, root, flow).plan().collect()}
     _session(spark, root, flow).run()
     plans["again"] = _session(spark, root, flow).plan().collect()
-    plans["param"] = _session(spark, root, flow, least="12").plan().collect()
+    plans["param"] = _session(spark, root, flow, least="5").plan().collect()
     first = flow.config["region"][0]
     sinks.commit(spark.range(3), f"{root}/out/clean/{first}.parquet")
     plans["tampered"] = _session(spark, root, flow).plan().collect()
