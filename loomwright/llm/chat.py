@@ -33,30 +33,32 @@ def unescaped(text: Column) -> Column:
 
 def expand(turns: DataFrame) -> DataFrame:
     """conv_id, example (the place of the reply, or of the end), formatted, loss_start, loss_length (in characters of
-    ``formatted``; null where nothing is trained on)."""
+    ``formatted``; null where nothing is trained on), alone (tells rows without a conversation apart)."""
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = turns.select("conv_id", turn.alias("t"))
-    gathered = rows.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    gathered = gathered.unionByName(rows.where("conv_id is null").select("conv_id", F.array("t").alias("turns")))
+    # rows without a conversation are told apart by a number, so they are spread like any others
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone")
+    gathered = turns.select("conv_id", alone, turn.alias("t")).groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     # each turn is formatted once; an example joins the first of them
     marked = gathered.select(
         "conv_id",
+        "alone",
         F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.concat(F.lit(OPEN), escaped(t["role"]), F.lit("\n")).alias("head"), escaped(t["text"]).alias("body"))).alias("turns"),
     )
     places = F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i).otherwise(F.lit(-1)))
     replies = F.filter(places, lambda i: i >= 0)
     ends = F.when(F.coalesce(F.element_at("turns", -1)["role"], F.lit("")) == "assistant", replies).otherwise(F.array_append(replies, F.size("turns")))
-    each = marked.select("conv_id", "turns", F.explode(ends).alias("example"))
+    each = marked.select("conv_id", "alone", "turns", F.explode(ends).alias("example"))
     context = F.array_join(F.transform(F.slice("turns", F.lit(1), F.col("example")), lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), "")
     reply = F.get("turns", F.col("example"))
     prompt = F.concat(context, F.coalesce(reply["head"], F.lit("")))
-    built = each.select("conv_id", "example", prompt.alias("prompt"), reply["body"].alias("body"))
+    built = each.select("conv_id", "alone", "example", prompt.alias("prompt"), reply["body"].alias("body"))
     return built.select(
         "conv_id",
         "example",
         F.when(F.col("body").isNull(), F.col("prompt")).otherwise(F.concat("prompt", F.col("body"), F.lit(END))).alias("formatted"),
         F.when(F.col("body").isNotNull(), F.char_length("prompt")).alias("loss_start"),
         F.char_length("body").alias("loss_length"),
+        "alone",
     )
 
 
@@ -64,13 +66,11 @@ def read_back(examples: DataFrame) -> DataFrame:
     """The digests of each conversation, from formatted text and loss spans alone: the longest example holds all turns,
     the loss spans hold each assistant text once."""
     under = F.when(F.col("loss_start").isNotNull(), unescaped(F.substring(F.col("formatted"), F.col("loss_start") + 1, F.col("loss_length"))))
-    by = examples.where("conv_id is not null").groupBy("conv_id").agg(
+    by = examples.groupBy("conv_id", "alone").agg(
         F.max_by("formatted", "example").alias("whole"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(under.isNotNull(), F.struct(F.col("example"), under.alias("text"))))), lambda x: x["text"]), "").alias("loss"),
         F.sum(F.char_length("formatted")).alias("formatted_chars"),
     )
-    alone = examples.where("conv_id is null").select("conv_id", F.col("formatted").alias("whole"), F.coalesce(under, F.lit("")).alias("loss"), F.char_length("formatted").cast("long").alias("formatted_chars"))
-    by = by.unionByName(alone)
     # one split at the opening marks; a role ends at the first newline that isn't part of it, which roles can't hold
     parts = F.slice(F.split("whole", r"\[INST\]"), 2, F.size(F.split("whole", r"\[INST\]")) - 1)
     bare = F.transform(parts, lambda p: F.regexp_replace(p, r"(\[/INST\]|</s>)\z", ""))
