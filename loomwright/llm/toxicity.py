@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[
     known = labels.where(F.col("toxic").isNotNull() & (remainder(FOLDS) != HELD_OUT)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = smallest_hashes(known, sample)  # at most ``sample`` rows of two numbers: small enough to broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
-    rows = materialize(spark, texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).repartition(max(2, spark.sparkContext.defaultParallelism), F.xxhash64("text")))
+    rows = materialize(spark, texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).repartition(max(2, spark.sparkContext.defaultParallelism), F.xxhash64("doc_id", "text")))
     sizes = rows.select("doc_id", F.octet_length("text").alias("n"), F.xxhash64(F.col("doc_id").cast("string")).alias("h")).collect()
     taken = within([(r.doc_id, r.n) for r in sorted(sizes, key=lambda r: (r.h, r.doc_id))], SAMPLE_BYTES)
     if len(taken) < len(sizes):
