@@ -172,7 +172,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     keys = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & (remainder(FOLDS) != HELD_OUT))
     half = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("half")), F.lit(2)).cast("int").alias("half")
     # spread over the cores, whatever the partitions of the corpus were
-    chosen = materialize(spark, smallest_hashes(known, sample, keys).select("lang", "text", half).repartition(max(2, spark.sparkContext.defaultParallelism), F.xxhash64("text")))
+    chosen = materialize(spark, smallest_hashes(known, sample, keys).repartition(max(2, spark.sparkContext.defaultParallelism), F.xxhash64("doc_id", "text")).select("lang", "text", half))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
