@@ -102,7 +102,7 @@ def check_constraint(name: str, expression: str) -> None:
     if re.search(r"\(\?(?:[=!]|<[=!])|\(\?P=|\\[1-9]", expression):
         raise PatternError(f"constraint of {name!r} uses look-around or a back-reference")
     try:
-        re.compile(expression)
+        re.compile(no_groups(expression))
     except re.error as e:
         raise PatternError(f"constraint of {name!r}: {e}") from None
 

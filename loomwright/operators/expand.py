@@ -21,6 +21,10 @@ class ExpandError(ValueError):
     """Dimensions or targets that can't be expanded."""
 
 
+class RuleCycleError(ExpandError, graph.CycleError):
+    """Rules that feed each other."""
+
+
 @dataclass
 class RuleSpec:
     """What expansion needs to know of a rule."""
@@ -218,7 +222,10 @@ def chain_spread(spark: SparkSession, rules: list[RuleSpec], config: dict, targe
     if level:  # the level is the longest distance to a target, which also finds cycles
         jobs = materialize(spark, jobs)
         upstream = graph.reversed_edges(job_edges(outputs_of(rules, config, jobs), edges))
-        placed = graph.levels(spark, jobs.select(F.col("job_id").alias("id")), upstream)
+        try:
+            placed = graph.levels(spark, jobs.select(F.col("job_id").alias("id")), upstream)
+        except graph.CycleError:
+            raise RuleCycleError("rules feed each other in a cycle") from None
         jobs = jobs.join(placed.withColumnRenamed("id", "job_id"), "job_id")
     return jobs, edges, (sources if sources is not None else empty_paths).distinct()
 
@@ -400,4 +407,4 @@ def _place(jobs: dict[str, Planned], maker: dict[str, str]) -> None:
             if not left[up]:
                 todo.append(up)
     if done < len(jobs):
-        raise ExpandError("rules feed each other in a cycle")
+        raise RuleCycleError("rules feed each other in a cycle")

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +51,52 @@ def test_chain_over_tables(spark):
         expand.chain(spark, rules, {}, target)
 
 
+def both_ways(monkeypatch, run):
+    """What a graph query gives on the driver and level by level."""
+    local = run()
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 0)
+    monkeypatch.setattr(graph, "COMPACT", 2)
+    return local, run()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_graph_queries_are_the_same_on_tables(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    links = sorted({(a, b) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(70)) if a < b})
+    edges, nodes = spark.createDataFrame(links, "from_job long, to_job long"), spark.createDataFrame([(i,) for i in range(42)], "id long")
+    seeds = spark.createDataFrame([(0,), (3,), (99,)], "id long")
+    ring = spark.createDataFrame([*links, (30, 31), (31, 30), (38, 2)], "from_job long, to_job long")
+
+    def run():
+        return [rows_of(graph.closure(spark, edges, seeds).select("id", "depth")), rows_of(graph.levels(spark, nodes, edges).select("id", "level")), rows_of(graph.critical_path(spark, nodes, edges).select("position", "id")), rows_of(graph.in_cycles(spark, ring)), rows_of(graph.in_cycles(spark, edges))]
+
+    local, spread = both_ways(monkeypatch, run)
+    assert local == spread and local[2] and local[3] and not local[4]
+
+
+def test_long_chains_and_cycles_end_at_once(spark, monkeypatch):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(5000)], "from_job long, to_job long")
+    nodes = spark.range(5001)
+    began = time.time()
+    assert graph.levels(spark, nodes, chain).agg(F.max("level")).first()[0] == 5000
+    assert graph.critical_path(spark, nodes, chain).count() == 5001 and time.time() - began < 30
+    reached = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 1)], "from_job long, to_job long")
+
+    def run():
+        with pytest.raises(graph.CycleError):
+            graph.levels(spark, spark.range(4), reached)
+        return True
+
+    assert both_ways(monkeypatch, run) == (True, True)
+
+
+def test_paths_double_on_tables(spark, monkeypatch):
+    links = [(k, k + 1) for k in range(11)]
+    edges = spark.createDataFrame(links, "from_job long, to_job long")
+    local, spread = both_ways(monkeypatch, lambda: rows_of(graph.critical_path(spark, spark.range(12), edges).select("position", "id")))
+    assert sorted(local) == sorted(spread) == [(k, k) for k in range(12)]
+
+
 def test_framing_keeps_fields_apart(spark):
     rows = [({"ab": "c"},), ({"a": "bc"},), ({},), (None,)]
     hashes = [r[0] for r in spark.createDataFrame(rows, "m map<string,string>").select(cache.map_hash(F.col("m"))).collect()]
