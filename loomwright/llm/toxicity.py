@@ -16,7 +16,6 @@ are marked as held out; a sentence ends at . ! ? or a newline, and has no length
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +36,8 @@ PREFIXES = (3, 4, 5, 6, 7)
 FOLDS, HELD_OUT = 5, 0
 #: POSITIVE: weight of a toxic document beside one that isn't.
 ROUNDS, RATE, DECAY, POSITIVE = 250, 0.06, 1e-4, 3.0
-CACHE_ENTRIES = 500_000
+#: Words that a task keeps the weights of.
+CACHE_ENTRIES = 100_000
 WORDS = re.compile(r"[^\W\d_]+").findall
 SENTENCE = re.compile(r"[^.!?\n]+")
 
@@ -166,29 +166,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[
 
 
 SCORED = "score double, n_offending int, worst_start int, worst_length int, worst_score double"
-_MODELS: dict[str, Model] = {}
 
 
 def scorer(spark: SparkSession, weights: dict[str, float], bias: float | None):
     """A column function: a text's score and its worst sentence (the first of the highest)."""
     shared = spark.sparkContext.broadcast((weights, bias))  # FEATURES entries at most
-    key = uuid.uuid4().hex
 
     @F.pandas_udf(SCORED)
-    def scored(texts: pd.Series) -> pd.DataFrame:
-        if key not in _MODELS:
-            _MODELS.clear()
-            _MODELS[key] = Model(*shared.value)
-        model, out = _MODELS[key], []
-        for text in texts:
-            found = model.scores(text)
-            if not found:
-                out.append((0.0, 0, None, None, None))
-                continue
-            worst = max(found, key=lambda x: (x[2], -x[0]))
-            out.append((round(noisy_or([x[2] for x in found]), 9), sum(x[2] >= 0.5 for x in found), worst[0], worst[1] - worst[0], worst[2]))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in SCORED.split(", ")])
-        return frame.astype({"n_offending": "int32", "worst_start": "Int32", "worst_length": "Int32", "worst_score": "float64"})
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = Model(*shared.value)  # and its words, for this task alone: workers are used again by later stages
+        for texts in batches:
+            out = []
+            for text in texts:
+                found = model.scores(text)
+                if not found:
+                    out.append((0.0, 0, None, None, None))
+                    continue
+                worst = max(found, key=lambda x: (x[2], -x[0]))
+                out.append((round(noisy_or([x[2] for x in found]), 9), sum(x[2] >= 0.5 for x in found), worst[0], worst[1] - worst[0], worst[2]))
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in SCORED.split(", ")])
+            yield frame.astype({"n_offending": "int32", "worst_start": "Int32", "worst_length": "Int32", "worst_score": "float64"})
 
     return scored
 
