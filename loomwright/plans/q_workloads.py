@@ -139,8 +139,9 @@ _LEVEL = """SELECT k // 2 AS k, CASE WHEN count(*) = 1 THEN any_value(v) ELSE li
 
 @query(f"WITH a AS (SELECT vec_id AS k, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), b AS ({_LEVEL.format('a')}), c AS ({_LEVEL.format('b')}) SELECT k AS vec_id, list_transform(v, lambda x: round(x, 6)) AS v FROM c")
 def w_tree_mean(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    return w.tree_mean(rows, "vec_id", "v", 2).select("vec_id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+    zero = F.lit(0.0)  # -0.0 comes in as 0.0, as the SQL's arg_min over lists has it
+    rows = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") + zero).alias("v"))
+    return w.tree_mean(rows, "vec_id", "v", 2).select("vec_id", F.transform("v", lambda x: w.rounded(x, 6)).alias("v"))
 
 
 @query(

@@ -36,3 +36,13 @@ def test_rounded_is_duckdbs_round(spark, digits):
     found = [r[0] for r in spark.createDataFrame([(x,) for x in values], "x double").select(w.rounded(w.F.col("x"), digits)).collect()]
     want = [duckdb.execute("SELECT round(CAST(? AS DOUBLE), ?)", [x, digits]).fetchone()[0] for x in values]
     assert str(bits(found)) == str(bits(want))
+
+
+def test_tree_means_keep_the_sign_of_what_rounds_to_nothing(spark, tmp_path):
+    same_as_sql(spark, tmp_path, [(k, [-1e-8, 0.25, x]) for k, x in enumerate([0.5, None, -0.0, 1.0, -0.0, -0.0])], "w_tree_mean")
+
+
+def test_tree_means_of_arrays_that_are_not_pairs(spark, tmp_path):
+    one = [(0, None), (1, [1.0]), (2, [2.0]), (3, None), (8, None), (9, None), (12, None), (16, [1.0, 2.0]), (17, [3.0]), (20, []), (24, [1.0]), (28, [5.0]), (29, [7.0])]
+    below = [(-1, [3.0]), (-9, [4.0]), (-10, [6.0]), (2**62 + 1, [1.0]), (2**62, [2.0]), (None, [1.0]), (None, None)]
+    same_as_sql(spark, tmp_path, one + below, "w_tree_mean")
