@@ -1,6 +1,10 @@
 """Incremental execution: framed hashes, cache keys, validation of outputs, staleness and invalidation.
 
-Keys are SHA-256 over length-framed fields, so no two field lists run into each other."""
+Keys are SHA-256 over length-framed fields, so no two field lists run into each other.
+
+Spark guesses a table's size from the files that it comes from.  Keys, paths and hashes that are computed from a few small
+columns are many times that, so where whole tables of them are looked up, joins are told to sort and merge: what is
+broadcast on such a guess doesn't fit the driver."""
 
 from __future__ import annotations
 
@@ -90,10 +94,10 @@ def lookup(jobs: DataFrame, outputs: DataFrame, entries: DataFrame, records: Dat
 
     jobs: job_id, cache_key; outputs: job_id, place, path; entries: cache_key; records: cache_key, path, hash, mtime,
     size; files: path, hash, mtime, size as they are now."""
-    keyed = jobs.select("job_id", "cache_key").join(entries.select("cache_key").distinct().withColumn("known", F.lit(True)), "cache_key", "left")
+    keyed = jobs.select("job_id", "cache_key").join(entries.select("cache_key").distinct().withColumn("known", F.lit(True)).hint("merge"), "cache_key", "left")
     held = records.select("cache_key", "path", F.col("hash").alias("r_hash"), F.col("mtime").alias("r_mtime"), F.col("size").alias("r_size"))
     now = files.select("path", F.col("hash").alias("f_hash"), F.col("mtime").alias("f_mtime"), F.col("size").alias("f_size"), F.lit(True).alias("there"))
-    each = keyed.join(outputs, "job_id", "left").join(held, ["cache_key", "path"], "left").join(now, "path", "left")
+    each = keyed.join(outputs.hint("merge"), "job_id", "left").join(held.hint("merge"), ["cache_key", "path"], "left").join(now.hint("merge"), "path", "left")
     fine = valid(mode, F.col("f_mtime"), F.col("f_size"), F.col("f_hash"), F.col("r_mtime"), F.col("r_size"), F.col("r_hash"))
     state = F.when(F.col("path").isNull(), F.lit(None)).when(F.col("r_hash").isNull(), "miss").when(F.col("there").isNull(), "missing").when(~fine, "mismatch")
     bad = F.min(F.when(state.isNotNull(), F.struct("place", state.alias("state"), "path")))
