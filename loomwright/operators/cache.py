@@ -108,8 +108,8 @@ def lookup(jobs: DataFrame, outputs: DataFrame, entries: DataFrame, records: Dat
 
 def healed(entries: DataFrame, jobs: DataFrame, found: DataFrame) -> DataFrame:
     """The entries without those whose outputs were missing or changed."""
-    bad = jobs.join(found.where(F.col("status").isin("missing", "mismatch")), "job_id", "left_semi").select("cache_key")
-    return entries.join(bad, "cache_key", "left_anti")
+    bad = jobs.join(found.where(F.col("status").isin("missing", "mismatch")).hint("merge"), "job_id", "left_semi").select("cache_key")
+    return entries.join(bad.hint("merge"), "cache_key", "left_anti")
 
 
 def fresh_by_time(outputs: DataFrame, inputs: DataFrame) -> DataFrame:

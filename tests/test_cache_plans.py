@@ -2,10 +2,15 @@
 
 import pytest
 
+from loomwright.operators import cache
 from loomwright.plans.catalogue import QUERIES
 
 
-@pytest.mark.parametrize("name", ["cache_lookup_status", "cache_lookup_mtime", "cache_lookup_content"])
+def merges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("name", ["cache_lookup_status", "cache_lookup_mtime", "cache_lookup_content", "cache_self_heal"])
 def test_lookups_broadcast_nothing(spark, tiny, name):
-    plan = QUERIES[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert merges(QUERIES[name](spark, tiny))
