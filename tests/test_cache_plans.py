@@ -14,3 +14,10 @@ def merges(df):
 @pytest.mark.parametrize("name", ["cache_lookup_status", "cache_lookup_mtime", "cache_lookup_content", "cache_self_heal"])
 def test_lookups_broadcast_nothing(spark, tiny, name):
     assert merges(QUERIES[name](spark, tiny))
+
+
+def test_what_is_looked_up_for_staleness_is_not_broadcast(spark, tiny, monkeypatch):
+    written = []
+    monkeypatch.setattr(cache, "materialize", lambda session, df: written.append(df) or df)
+    QUERIES["cache_stale_propagation"](spark, tiny)
+    assert len(written) == 1 and merges(written[0])
