@@ -14,8 +14,10 @@ anywhere.
 
 Search takes nodes by their best possible score and avoids computing distances by |d(q, parent) - d(o, parent)|.  Each
 query first searches its home page; the k-th score found there is where its descent through the upper nodes starts, and
-no page or node that can't reach it is visited, at any size.  Queries of one page or node are dealt out in groups of
-``ROWS``, each with a copy of it, so no page is one task, however many queries reach it.
+no page or node that can't reach it is visited, at any size.  Queries of one page are dealt out in groups of ``ROWS``,
+each with a copy of it, so no page is one task, however many queries reach it; those of one node in groups of
+``ROWS // FAN``, as each of them may go on to all of its children.  Pages that are written are checked for their size row by
+row, and hold their integers in as few bytes as they need.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; vectors of different lengths
 aren't compared; every row is a candidate, so a repeated row is one as often as it is there; equal queries (vec_id and
@@ -42,8 +44,10 @@ K, EVERY = 5, 50
 SHARD, FAN, PICK = 8192, 256, 1024
 #: Entries of a leaf within a page, children of a node within a page.
 LEAF, FANOUT = 256, 8
-#: Rows that go to a page or node together.
+#: Rows that go to a page together; a group of queries and a node make no more rows than this either.
 ROWS = 16_384
+#: A page is a row of up to some MB; Parquet's writer looks only at every 100th row else, and readers take what it wrote at once.
+LARGE_ROWS = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 
 
 def whole(vectors: DataFrame) -> DataFrame:
@@ -77,6 +81,13 @@ class Tree:
         self._build(np.arange(len(x)), pivots_of(self.full, 1)[0])
         del self.full
 
+    def __getstate__(self) -> dict:
+        kind = next((t for t in ("i1", "i2", "i4") if not len(self.x) or np.abs(self.x).max() <= np.iinfo(t).max), "f8")
+        return vars(self) | {"x": self.x.astype(kind)}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state | {"x": state["x"].astype("f8")})
+
     def _build(self, rows: np.ndarray, pivot: int) -> int:
         number = len(self.nodes)
         self.nodes.append(None)
@@ -147,10 +158,10 @@ class Tree:
         return [(s, -i) for s, i in best]
 
 
-def beside(spark: SparkSession, rows: DataFrame, pages: DataFrame, key: list[str], function: Callable, schema: str) -> DataFrame:
+def beside(spark: SparkSession, rows: DataFrame, pages: DataFrame, key: list[str], function: Callable, schema: str, group: int | None = None) -> DataFrame:
     """``function`` (some rows of a page, the page) -> frame, for all ``rows`` (page and more) beside ``pages`` (page and
-    more; one row each).  Rows of one page are dealt by ``key`` into groups of about ``ROWS``."""
-    parts = materialize(spark, rows.groupBy("page").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("parts")))
+    more; one row each).  Rows of one page are dealt by ``key`` into groups of about ``group`` (else ``ROWS``)."""
+    parts = materialize(spark, rows.groupBy("page").agg(F.ceil(F.count("*") / (group or ROWS)).cast("int").alias("parts")))
     asked = rows.join(parts, "page").withColumn("salt", F.pmod(F.xxhash64(*key), F.col("parts")).cast("int")).drop("parts")
     held = pages.join(parts, "page").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     return asked.groupBy("page", "salt").cogroup(held.groupBy("page", "salt")).applyInPandas(function, schema)
@@ -229,7 +240,7 @@ def upper(spark: SparkSession, trees: DataFrame, depth: int) -> list[DataFrame]:
         if made is not None:
             below = below.unionByName(made.select("page", "centre", "radius", "n", F.lit(False).alias("leaf")))
         parents = below.withColumn("parent", F.regexp_replace("page", "/[^/]*$", ""))
-        made = materialize(spark, parents.groupBy("parent").applyInPandas(node, "page string, node binary, centre array<double>, radius double, n long"))
+        made = materialize(spark, parents.groupBy("parent").applyInPandas(node, "page string, node binary, centre array<double>, radius double, n long"), LARGE_ROWS)
         levels.insert(0, made.select("page", "node"))
     return levels
 
@@ -252,7 +263,7 @@ def nearest_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: in
         centre = x.mean(0)
         return pd.DataFrame({"page": part["page"].iloc[:1], "tree": [pickle.dumps(tree)], "centre": [centre.tolist()], "radius": [float(np.sqrt(((x - centre) ** 2).sum(1)).max())], "n": [len(x)]})
 
-    trees = materialize(spark, pages.groupBy("page").applyInPandas(built, "page string, tree binary, centre array<double>, radius double, n long"))
+    trees = materialize(spark, pages.groupBy("page").applyInPandas(built, "page string, tree binary, centre array<double>, radius double, n long"), LARGE_ROWS)
 
     def scored(part: pd.DataFrame, page: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -274,21 +285,22 @@ def nearest_k(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: in
         least = found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") == k).select(*key, F.col("score").cast("double").alias("least"))
 
         def reached(part: pd.DataFrame, page: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            if len(part) and len(page):
-                children, centres, radii, leaves = pickle.loads(page["node"].iloc[0])
-                x = stacked(part["v"])
-                most = x @ centres.T + np.sqrt((x * x).sum(1))[:, None] * radii  # no inner product within a radius is larger
-                fit = most + 1e-6 * (1 + np.abs(most)) >= part["least"].to_numpy()[:, None]
-                for row, (query, q, v, home, bound) in enumerate(zip(*(part[c] for c in ("query_id", "q", "v", "home", "least")), strict=True)):
-                    out += [(query, q, v, home, bound, children[c], leaves[c]) for c in np.flatnonzero(fit[row]) if children[c] != home]
-            return pd.DataFrame(out, columns=[c.split()[0] for c in VISIT.split(", ")]).astype({"query_id": "int64", "q": "int64", "least": "float64", "leaf": "bool"})
+            if not len(part) or not len(page):
+                return pd.DataFrame(columns=[c.split()[0] for c in VISIT.split(", ")]).astype({"query_id": "int64", "q": "int64", "least": "float64", "leaf": "bool"})
+            children, centres, radii, leaves = pickle.loads(page["node"].iloc[0])
+            x = stacked(part["v"])
+            most = x @ centres.T + np.sqrt((x * x).sum(1))[:, None] * radii  # no inner product within a radius is larger
+            fit = most + 1e-6 * (1 + np.abs(most)) >= part["least"].to_numpy()[:, None]
+            fit &= part["home"].to_numpy()[:, None] != np.array(children, object)
+            row, child = np.nonzero(fit)
+            out = part[["query_id", "q", "v", "home", "least"]].iloc[row]
+            return out.assign(page=np.array(children, object)[child], leaf=np.array(leaves, bool)[child])
 
         started = homes.withColumnRenamed("page", "home").join(least, key, "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
         visits = started.select("query_id", "q", "v", "home", "least", F.size("v").cast("string").alias("page"))
         far = []
         for nodes in upper(spark, trees, len(levels)):
-            met = materialize(spark, beside(spark, visits, nodes, key, reached, VISIT))
+            met = materialize(spark, beside(spark, visits, nodes, key, reached, VISIT, max(1, ROWS // FAN)))
             far.append(met.where("leaf"))
             visits = met.where(~F.col("leaf")).drop("leaf")
         others = far[0]

@@ -71,11 +71,12 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/loomwright/{spark.sparkContext.applicationId}"
 
 
-def materialize(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, lost executors cost nothing."""
+def materialize(spark: SparkSession, df: DataFrame, options: dict | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder (``options``: the writer's) and read it back: lineage is cut, lost executors cost
+    nothing."""
     ship(spark)
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomwright_path = path
     return out

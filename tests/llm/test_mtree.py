@@ -74,3 +74,22 @@ def test_query_against_sql(spark, tiny):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tiny}/embeddings.parquet'")
     assert got(mtree.op8_mtree_top_k(spark, tiny)) == sorted(db.execute(f"SELECT query_id, rank, vec_id, score FROM ({mtree.ORACLE})").fetchall())
+
+
+def test_a_group_of_queries_goes_on_to_no_more_rows_than_a_page_takes(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "SHARD", 20)
+    seen, beside = [], mtree.beside
+    monkeypatch.setattr(mtree, "beside", lambda *args: seen.append((args[5] == mtree.VISIT, *args[6:])) or beside(*args))
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist(), 0) for i in range(200)], SCHEMA)
+    mtree.nearest_k(spark, df, df.where(F.col("vec_id") % 50 == 0))
+    assert [x[1] * mtree.FAN <= mtree.ROWS for x in seen if x[0]] and all(len(x) == 2 for x in seen if x[0])
+
+
+def test_a_written_page_takes_two_bytes_for_a_number_of_two():
+    x = np.floor(256 * np.random.default_rng(4).normal(size=(2000, 64)))
+    tree = mtree.Tree(x, [[i] for i in range(len(x))], float((x * x).sum(1).max()))
+    written = mtree.pickle.dumps(tree)
+    again = mtree.pickle.loads(written)
+    assert len(written) < 5 * x.size and again.x.dtype == x.dtype and (again.x == x).all()
+    assert sorted(again.search(7, x[7], 5, -np.inf)) == sorted(tree.search(7, x[7], 5, -np.inf))
