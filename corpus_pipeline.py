@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomwright.llm import language, mixing, near, packing, toxicity
 from loomwright.llm.tokens import default_path
-from loomwright.session import materialize, table
+from loomwright.session import materialize, sent, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,6 +25,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 #: Percent of similarity from which the pipeline's texts are near-duplicates; op1 has its own.
 NEAR_PERCENT = 80
+#: Bytes of a doc_id in a broadcast table.
+GONE_BYTES = 32
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     stays, the smallest; rows that share a doc_id and differ in text are no copies of each other and all stay."""
     found = near.near_duplicates(spark, docs, NEAR_PERCENT)
     gone = materialize(spark, found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
-    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    left = docs.join(sent(gone, GONE_BYTES), docs["doc_id"] == gone["_gone"], "left_anti")  # texts stay where they are
     repeated = materialize(spark, docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_again")))
     if repeated.isEmpty():
         return left

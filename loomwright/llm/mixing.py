@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.session import materialize, table
+from loomwright.session import materialize, sent, table
 
 #: Powers that shares are tempered with, share of all tokens that is sampled, steps to find the scale.
 TARGETS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
@@ -34,6 +34,8 @@ BUDGET, STEPS, SEED = 0.6, 8, "mix-1"
 #: Sweeps at most, and the part of its target that a marginal may be off by.
 SWEEPS, TOLERANCE = 40, 1e-10
 DIMS = ["source", "lang", "topic"]
+#: Bytes of a row of means or rates in a broadcast table.
+RATE_BYTES = 512
 BLANKS = r"\x09-\x0D\x20"
 WORDS = f"[^{BLANKS}]+"
 #: Hashes of words to one bit: whether the first letter, the last letter, the second letter is one of a half.
@@ -53,11 +55,13 @@ def counts(docs: DataFrame) -> dict[str, Column]:
 
 
 def with_topics(rows: DataFrame) -> DataFrame:
-    """``rows`` (lang, n_tokens, plane0 and so on) with their topic."""
+    """``rows`` (lang, n_tokens, plane0 and so on) with their topic.  The languages' means are written and counted first, so
+    that they travel and the rows, which may carry texts, stay where they are."""
     names = [f"plane{k}" for k in range(len(PLANES))]
     means = rows.groupBy(F.col("lang").alias("m_lang")).agg(*[(F.sum(n).cast("double") / F.nullif(F.sum("n_tokens"), F.lit(0))).alias(f"m_{n}") for n in names])
     digits = [F.when(F.col(n).cast("double") / F.nullif("n_tokens", F.lit(0)) > F.col(f"m_{n}"), "1").otherwise("0") for n in names]
     topic = F.when(F.col("n_tokens") == 0, "none").otherwise(F.concat(*digits))
+    means = sent(materialize(rows.sparkSession, means), RATE_BYTES)
     return rows.join(means, F.col("lang").eqNullSafe(F.col("m_lang"))).withColumn("topic", topic).drop("m_lang", *names, *[f"m_{n}" for n in names])
 
 
@@ -143,10 +147,11 @@ def rates(spark: SparkSession, cells: DataFrame, budget: float = BUDGET, given:
 
 
 def rated(rows: DataFrame, rates: DataFrame) -> DataFrame:
+    """``rows`` with the rate of their cell; the rates travel to the rows, unless there are too many cells for that."""
     same = F.lit(True)
     for d in DIMS:
         same = same & F.col(d).eqNullSafe(F.col(f"r_{d}"))
-    return rows.join(rates, same)
+    return rows.join(sent(rates, RATE_BYTES), same)
 
 
 def unit(doc_id: Column) -> Column:

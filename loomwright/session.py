@@ -89,6 +89,12 @@ def counted(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, int]:
     return out, seen.get["n"]
 
 
+def sent(df: DataFrame, row_bytes: int, most: int = 32 << 20) -> DataFrame:
+    """A written table, to be broadcast in a join if its rows (counted) come to ``most`` bytes at most; else as it is, so
+    that both sides are shuffled."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
+
+
 def discard(spark: SparkSession, *frames: DataFrame | None) -> None:
     """Deletes what :func:`materialize` wrote for ``frames`` (others are passed over); nothing may read them any more."""
     for df in frames:
