@@ -120,9 +120,10 @@ def fresh_by_time(outputs: DataFrame, inputs: DataFrame) -> DataFrame:
 
 
 def stale(spark: SparkSession, found: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, reason) of all jobs to run: those that aren't hits with their own status, and all downstream of them."""
+    """(id, reason) of all jobs to run: those that aren't hits with their own status, and all downstream of them
+    (a closure is without its seeds)."""
     own = materialize(spark, found.where("status <> 'hit'").select(F.col("job_id").alias("id"), F.col("status").alias("reason")))
-    below = graph.rdeps(spark, edges, own).join(own, "id", "left_anti").select("id", F.lit("upstream").alias("reason"))
+    below = graph.rdeps(spark, edges, own).select("id", F.lit("upstream").alias("reason"))
     return own.unionByName(below)
 
 

@@ -4,7 +4,10 @@ Edges are read once.  A graph of up to ``LOCAL_EDGES`` edges (counted, not guess
 walked on the driver, as a session's is, with no Spark job for a level.  A larger one is written once and goes level by
 level with an anti-join on what has been seen, so diamonds cost no more than once; each level is written to the shared
 folder, which cuts the lineage and survives lost executors, and only counts come to the driver.  Both ways give the
-same rows.  Ids are numbers or texts, not null."""
+same rows.  Ids are numbers or texts, not null.
+
+Closures don't leave it to Spark what to broadcast: it goes by the size of files, and a small file of ids holds many rows,
+all of which would pass through the driver."""
 
 from __future__ import annotations
 
@@ -70,17 +73,22 @@ def closure(spark: SparkSession, edges: DataFrame, seeds: DataFrame) -> DataFram
     return framed(spark, seeds, "id", ["id", "depth"], ((i, d) for i, d in seen.items() if d))
 
 
+def by_rows(df: DataFrame, rows: int) -> DataFrame:
+    """One side of a join, with its number of rows (counted): broadcast up to ``LOCAL_EDGES``, else sorted and merged."""
+    return F.broadcast(df) if rows <= LOCAL_EDGES else df.hint("merge")
+
+
 def closure_spread(spark: SparkSession, edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """:func:`closure` level by level; ``edges`` is a written table."""
-    frontier = materialize(spark, seeds.select("id").distinct().withColumn("depth", F.lit(0)))
-    seen, depth = frontier, 0
+    frontier, n = counted(spark, seeds.select("id").distinct().withColumn("depth", F.lit(0)))
+    seen, known, depth = frontier, n, 0
     while True:
         depth += 1
-        step = frontier.select(F.col("id").alias("from_job")).join(edges, "from_job").select(F.col("to_job").alias("id")).distinct()
-        frontier, n = counted(spark, step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
+        step = edges.join(by_rows(frontier.select(F.col("id").alias("from_job")), n), "from_job").select(F.col("to_job").alias("id")).distinct()
+        frontier, n = counted(spark, step.join(by_rows(seen.select("id"), known), "id", "left_anti").withColumn("depth", F.lit(depth)))
         if not n:
             return seen.where("depth > 0")
-        seen = seen.unionByName(frontier)
+        seen, known = seen.unionByName(frontier), known + n
         if depth % COMPACT == 0:
             seen = materialize(spark, seen)
 
